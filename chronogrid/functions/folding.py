@@ -71,9 +71,11 @@ def fold(c: Column, form: str = "NFKD") -> Column:
     spelled = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(lookup, ch), ch)), ""
     )
-    return F.when(
-        c.rlike(_char_class(list(multi))), F.translate(spelled, source, target)
-    ).otherwise(plain)
+    return (
+        F.when(~c.rlike(r"[^\x00-\x7f]"), c)
+        .when(c.rlike(_char_class(list(multi))), F.translate(spelled, source, target))
+        .otherwise(plain)
+    )
 
 
 def text(c: Column | str) -> Column:

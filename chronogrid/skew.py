@@ -26,42 +26,43 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str, last: bool = Fals
     )
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], split_rows: int) -> DataFrame:
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], split_rows: int, weight: str | None = None
+) -> DataFrame:
     """The at most ``HOT_LIMIT`` largest groups above ``split_rows`` with their split count.
 
-    The row limit is what makes the result safe to broadcast at any scale.
+    ``df`` may already be counted, with the count in ``weight``. The row limit is what
+    makes the result safe to broadcast at any scale.
     """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
     return (
         df.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > split_rows)
-        .orderBy(F.desc("count"), *keys)
+        .agg(size.alias("_size"))
+        .filter(F.col("_size") > split_rows)
+        .orderBy(F.desc("_size"), *keys)
         .limit(HOT_LIMIT)
-        .select(*keys, F.ceil(F.col("count") / split_rows).cast("int").alias("_parts"))
+        .select(*keys, F.ceil(F.col("_size") / split_rows).cast("int").alias("_parts"))
     )
 
 
 def split_sides(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    split_rows: int,
+    left: DataFrame, right: DataFrame, hot: DataFrame, keys: Sequence[str], spread_by: str
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``_salt`` join column to both sides.
 
     Rows of a hot group are spread over several salts on the left and repeated once
-    per salt on the right, so an inner join on ``keys + _salt`` gives the same pairs.
+    per salt on the right, so an inner join that adds ``_salt`` to its keys gives the
+    same pairs.
     """
-    hot = F.broadcast(hot_groups(left, keys, split_rows))
+    small = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = (
-        left.join(hot, list(keys), "left")
+        left.join(small, list(keys), "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
         .drop("_parts")
     )
     repeated = (
-        right.join(hot, list(keys), "left")
+        right.join(small, list(keys), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
