@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from . import scheduling  # noqa: F401
+from . import history, scheduling, statistics  # noqa: F401
 from .registry import CATALOG
 
 __all__ = ["CATALOG"]

@@ -267,7 +267,7 @@ pairs AS (
   SELECT coalesce(o.timetable_id, w.timetable_id) AS timetable_id,
     coalesce(o.version_number + 1, w.version_number) AS version_number,
     CASE WHEN w.session_id IS NULL THEN 'removed' WHEN o.session_id IS NULL THEN 'added' ELSE 'modified' END AS change_type,
-    list_filter([{_DIFF}], x -> x IS NOT NULL) AS changed,
+    [x for x in [{_DIFF}] if x IS NOT NULL] AS changed,
     {", ".join(f"o.{f} AS old_{f}, w.{f} AS new_{f}" for f in _FIELDS)}
   FROM placed o FULL JOIN placed w
     ON o.timetable_id = w.timetable_id AND o.matiere = w.matiere AND o.n = w.n

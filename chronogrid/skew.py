@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut_lineage
+
 HOT_LIMIT = 1000  # a group outside the 1000 largest holds at most a thousandth of the rows
 
 
@@ -101,6 +103,29 @@ def rank_in_key(
     )
 
 
+def in_order(df: DataFrame, order: Sequence[Column], measure: Column | None = None) -> DataFrame:
+    """Rows in one global order, cut into ranges that each fit a task.
+
+    Adds ``_range`` (number of the range), ``_before`` (rows, or sum of ``measure``, in
+    all earlier ranges) and ``_all`` (the grand total). A running value is then
+    ``_before`` plus a window partitioned by ``_range``. The ranged rows are written
+    once, because their cut points must not move between the two reads.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(
+        df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    )
+    amount = F.sum(measure) if measure is not None else F.count(F.lit(1))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(amount.alias("_sum"))  # one row per range
+    shift = totals.select(
+        "_range",
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(Window.partitionBy()).alias("_all"),
+    )
+    return ranged.join(F.broadcast(shift), "_range")
+
+
 def blank(c: Column | str) -> Column:
     """True where the text is null or only spaces."""
     col = F.col(c) if isinstance(c, str) else c
