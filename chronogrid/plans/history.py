@@ -259,8 +259,7 @@ def previous_version(spark, folder):
 def archive_changes(spark, folder):
     rows = views.change_rows(spark, folder)
     stale = rows.withColumn("change_type", F.lit("added"))
-    fresh = rows.drop("from_version_id").withColumn("from_version_id", rows["from_version_id"])
-    return V.archive_changes(stale, fresh.select(*rows.columns)).groupBy("to_version_id", "change_type").agg(
+    return V.archive_changes(stale, rows).groupBy("to_version_id", "change_type").agg(
         F.count(F.lit(1)).alias("n")
     )
 
