@@ -16,6 +16,7 @@ SESSION_COLUMNS = [
     "jour", "matiere", "type_seance", "enseignant", "horaire", "duree", "groupe", "salle",
     "filiere", "niveau", "academic_year", "source_document", "page",
 ]
+CHANGE_FIELD_LABELS = ["Jour", "Matière", "Type", "Enseignant", "Horaire", "Durée", "Groupe", "Salle"]
 NATURAL_KEY = ["academic_year", "period", "filiere", "niveau"]
 
 
@@ -29,6 +30,10 @@ def hashed_id(*parts) -> F.Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+def _opaque(df: DataFrame, *cols) -> DataFrame:
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
@@ -40,7 +45,10 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, PROGRAMMES)), (F.col("user_id") % 12 + 1).cast("int"))
     niveau = text("S", F.col("user_id") % 6 + 1)
     week = (F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 7) + 1).cast("int")
-    base = e.select(
+    # One generated struct keeps the derivations behind plain attributes: the optimiser's
+    # constraint inference grows exponentially with aliases of expressions it can see.
+    base = _opaque(
+        e,
         eid.alias("session_id"),
         eid.alias("ord"),
         day.alias("jour"),
@@ -61,8 +69,11 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("1").alias("page"),
         week.alias("version_number"),
     )
-    return base.withColumn("timetable_id", hashed_id(*NATURAL_KEY)).withColumn(
-        "version_id", hashed_id(*NATURAL_KEY, "version_number")
+    return _opaque(
+        base,
+        *base.columns,
+        hashed_id(*NATURAL_KEY).alias("timetable_id"),
+        hashed_id(*NATURAL_KEY, "version_number").alias("version_id"),
     )
 
 
@@ -75,9 +86,11 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
     )
     newest = F.max("version_number").over(Window.partitionBy("timetable_id"))
     active = (F.col("version_number") == newest).cast("int")
-    return counted.select(
-        "*",
-        active.alias("is_active"),
+    flagged = counted.withColumn("is_active", active)
+    active = F.col("is_active")
+    return _opaque(
+        flagged,
+        *flagged.columns,
         F.when(active == 1, "Active").otherwise("Archivée").alias("status"),
         F.date_add(F.lit("2024-01-01").cast("date"), F.col("version_number") * 7)
         .cast("string")
@@ -133,20 +146,19 @@ def change_rows(spark: SparkSession, folder: str) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("modified")
+    compared = _opaque(
+        joined,
+        "timetable_id",
+        "version_number",
+        kind.alias("change_type"),
+        F.when(kind == "modified", changed).otherwise(F.array().cast("array<string>")).alias("changed_fields"),
+        "old",
+        "new",
+    ).filter("change_type <> 'modified' or size(changed_fields) > 0")
     return (
-        joined.join(ids, ["timetable_id", "version_number"])
+        compared.join(ids, ["timetable_id", "version_number"])
         .join(nxt, ["timetable_id", "version_number"])
-        .select(
-            "from_version_id",
-            "to_version_id",
-            kind.alias("change_type"),
-            F.when(kind == "modified", changed)
-            .otherwise(F.array().cast("array<string>"))
-            .alias("changed_fields"),
-            "old",
-            "new",
-        )
-        .filter((F.col("change_type") != "modified") | (F.size("changed_fields") > 0))
+        .select("from_version_id", "to_version_id", "change_type", "changed_fields", "old", "new")
     )
 
 
@@ -256,7 +268,7 @@ change_summary AS (
 """
 
 _FIELDS = ["jour", "matiere", "type_seance", "enseignant", "horaire", "duree", "groupe", "salle"]
-_LABELS = ["Jour", "Matière", "Type", "Enseignant", "Horaire", "Durée", "Groupe", "Salle"]
+_LABELS = CHANGE_FIELD_LABELS
 _DIFF = ", ".join(
     f"CASE WHEN o.{f} IS DISTINCT FROM w.{f} THEN '{label}' END" for f, label in zip(_FIELDS, _LABELS)
 )
