@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from . import history, scheduling, statistics, tracking  # noqa: F401
+from . import history, scheduling, staff, statistics, tracking  # noqa: F401
 from .registry import CATALOG
 
 __all__ = ["CATALOG"]
