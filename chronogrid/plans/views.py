@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, times
 from ..operators.workload import PROGRAMMES
+from ..skew import settled
 
 SESSION_COLUMNS = [
     "jour", "matiere", "type_seance", "enseignant", "horaire", "duree", "groupe", "salle",
@@ -30,10 +31,6 @@ def hashed_id(*parts) -> F.Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def _opaque(df: DataFrame, *cols) -> DataFrame:
-    return df.select(F.inline(F.array(F.struct(*cols))))
-
-
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
@@ -47,7 +44,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     week = (F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01")) / 7) + 1).cast("int")
     # One generated struct keeps the derivations behind plain attributes: the optimiser's
     # constraint inference grows exponentially with aliases of expressions it can see.
-    base = _opaque(
+    base = settled(
         e,
         eid.alias("session_id"),
         eid.alias("ord"),
@@ -69,7 +66,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("1").alias("page"),
         week.alias("version_number"),
     )
-    return _opaque(
+    return settled(
         base,
         *base.columns,
         hashed_id(*NATURAL_KEY).alias("timetable_id"),
@@ -88,7 +85,7 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
     active = (F.col("version_number") == newest).cast("int")
     flagged = counted.withColumn("is_active", active)
     active = F.col("is_active")
-    return _opaque(
+    return settled(
         flagged,
         *flagged.columns,
         F.when(active == 1, "Active").otherwise("Archivée").alias("status"),
@@ -146,7 +143,7 @@ def change_rows(spark: SparkSession, folder: str) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").otherwise("modified")
-    compared = _opaque(
+    compared = settled(
         joined,
         "timetable_id",
         "version_number",

@@ -126,6 +126,15 @@ def in_order(df: DataFrame, order: Sequence[Column], measure: Column | None = No
     return ranged.join(F.broadcast(shift), "_range")
 
 
+def settled(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """A projection the optimiser does not see through.
+
+    Long chains of derived columns make its constraint inference grow exponentially, and
+    merge into one huge expression; a generated struct ends the chain.
+    """
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def blank(c: Column | str) -> Column:
     """True where the text is null or only spaces."""
     col = F.col(c) if isinstance(c, str) else c
