@@ -66,7 +66,7 @@ def extras_json(c: Column) -> Column:
 def merge_sources(a: Column | str, b: Column | str) -> Column:
     """`` ; `` lists united in first-seen order."""
     both = F.concat(F.split(text(a), " ; "), F.split(text(b), " ; "))
-    kept = F.filter(F.transform(both, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_distinct(kept), " ; ")
 
 

@@ -32,7 +32,10 @@ def hashed_id(*parts) -> F.Column:
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
+    return sessions_from(table(spark, folder, "events"))
+
+
+def sessions_from(e: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     eid = F.col("event_id")
     start = F.lit(480) + (eid * 7 % 20) * 30
