@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.extras import EXTRAS_TYPE
 from ..functions.folding import clean_ws
+from ..session import cut_lineage
 from .matching import similar_pairs
 
 IGNORE = "Ignorer"
@@ -76,7 +77,7 @@ def canonical_headers(headers: DataFrame, learned: DataFrame) -> DataFrame:
     header is tried before the header without annotations.
     """
     names = dictionary(headers.sparkSession)
-    tried = headers.select("header").distinct().select(
+    tried = cut_lineage(headers.select("header").distinct()).select(
         "header",
         F.explode(
             F.array(
@@ -137,7 +138,8 @@ def map_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     c = cells.select("doc", "row", "col", clean_ws("header").alias("header"), clean_ws("value").alias("value")).filter(
         "header <> '' and value <> '' and not lower(header) like 'unnamed%'"
     )
-    known = c.join(mapping, "header", "left")
+    # Five aggregates read the recognised cells; the files behind them are read once.
+    known = cut_lineage(c.join(mapping, "header", "left"))
     field = known.filter(F.col("canonical").isin(list(FIELD_COLUMNS)))
     first = field.groupBy("doc", "row", "canonical").agg(F.min_by("value", "col").alias("kept"))
     pick = lambda n: F.coalesce(F.max(F.when(F.col("canonical") == n, F.col("kept"))), F.lit(""))
@@ -150,7 +152,7 @@ def map_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     extras = every.groupBy("doc", "row", "header").agg(F.max_by("value", "col").alias("value")).groupBy("doc", "row").agg(
         F.map_from_entries(F.collect_list(F.struct("header", F.array("value").alias("v")))).alias("extras")
     )
-    rows = c.select("doc", "row").distinct()
+    rows = known.select("doc", "row").distinct()
     out = rows.join(fields, ["doc", "row"], "left").join(full, ["doc", "row"], "left").join(extras, ["doc", "row"], "left")
     blank = F.lit("")
     out = out.withColumns({x: F.coalesce(F.col(x), blank) for x in FIELD_COLUMNS.values()})

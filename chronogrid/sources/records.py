@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.folding import clean_ws
 from ..operators import headers
 from ..operators.extract import LINE_BREAKS
+from ..session import cut_lineage
 from ..skew import settled
 
 DELIMITERS = [";", ",", "\t", "|"]
@@ -55,6 +56,7 @@ def _cells(line: Column, delimiter: Column) -> Column:
 
 def delimited_cells(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """Cells under the header row and delimiter that recognise the most columns."""
+    docs = cut_lineage(docs)
     lines = settled(docs, "doc", F.split("text", LINE_BREAKS).alias("ls")).select(
         "doc", F.posexplode("ls").alias("row", "line")
     ).filter("trim(line) <> ''")
@@ -69,9 +71,9 @@ def delimited_cells(docs: DataFrame, learned: DataFrame) -> DataFrame:
     scores = heads.join(known, "header", "left").groupBy("doc", "row", "turn", "delimiter").agg(
         F.coalesce(F.sum("hit"), F.lit(0)).alias("score")
     )
-    best = scores.filter("score > 0").groupBy("doc").agg(
+    best = cut_lineage(scores.filter("score > 0").groupBy("doc").agg(
         F.max_by(F.struct("row", "delimiter"), F.struct("score", -F.col("turn"), -F.col("row"))).alias("b")
-    ).select("doc", F.col("b.row").alias("header_row"), "b.delimiter")
+    ).select("doc", F.col("b.row").alias("header_row"), "b.delimiter"))
     rows = lines.join(best, "doc").filter("row >= header_row").select(
         "doc", "row", "header_row", F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("col", "value")
     )
