@@ -23,6 +23,9 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# Anything but ASCII and the usual dashes and quotes, none of which folding changes.
+MAY_FOLD = r"[^\x00-\x7f\x{2012}-\x{2015}\x{2018}-\x{201f}]"
+
 
 def fold_text(text: str, form: str = "NFKD") -> str:
     """Plain-Python definition that the column form is tested against."""
@@ -72,7 +75,7 @@ def fold(c: Column, form: str = "NFKD") -> Column:
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(lookup, ch), ch)), ""
     )
     return (
-        F.when(~c.rlike(r"[^\x00-\x7f]"), c)
+        F.when(~c.rlike(MAY_FOLD), c)
         .when(c.rlike(_char_class(list(multi))), F.translate(spelled, source, target))
         .otherwise(plain)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.folding import clean_ws, text
 from ..functions.similarity import may_reach, seq_ratio
+from ..skew import settled
 from .stats import ALL
 
 SESSION_TEXT = {
@@ -49,9 +50,9 @@ def _matching(index: DataFrame, labels: dict[str, str], query: str) -> DataFrame
     """
     words = keys.query_tokens(F.lit(query))
     found = F.forall(words, lambda w: F.col("_text").contains(w))
-    return (
-        index.withColumn("_text", labelled_text(labels)).filter((F.size(words) > 0) & found).drop("_text")
-    )
+    # The text is built once per row, not once per word looked for in it.
+    spoken = settled(index, *index.columns, labelled_text(labels).alias("_text"))
+    return spoken.filter((F.size(words) > 0) & found).drop("_text")
 
 
 def search_sessions(index: DataFrame, query: str) -> DataFrame:
