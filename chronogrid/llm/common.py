@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +62,19 @@ def ordered(df: DataFrame, order: Sequence[Column], rows: int, name: str = "_pos
         .withColumn(name, F.row_number().over(inside) - 1 + F.col("_before"))
         .drop("_range", "_before")
     )
+
+
+def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Adds an id of each row that stays the same between two reads.
+
+    It is the file and the place in it, so repeated rows differ and nothing is shuffled. A
+    frame that is no plain read of Parquet files is written to the shared folder first.
+    """
+    place = F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
+    )
+    try:
+        return df.select("*", place.alias(name))
+    except AnalysisException:
+        return cut_lineage(df).select("*", place.alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jump_hash import shard_documents
+from .mixing import systematic_copies
 
 SHARDS = 16
 
@@ -18,10 +19,23 @@ def op5_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, SHARDS)
 
 
+def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = systematic_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return drawn.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jump_hash": op5_jump_hash,
+    "op6_systematic_mix": op6_systematic_mix,
 }
 
+WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))"
 # The checksum of each 4-bit number in the reflected polynomial 0xEDB88320.
 CRC_NIBBLES = (
     "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
@@ -54,5 +68,36 @@ SELECT doc_id, (coalesce(strlen(text), 0) + 1)::BIGINT AS size, """
   a::INTEGER AS shard, b::INTEGER AS grown_shard,
   row_number() OVER (PARTITION BY a ORDER BY d, doc_id) - 1 AS slot
 FROM h JOIN f USING (d)
+""",
+    "op6_systematic_mix": f"""
+WITH d AS (
+  SELECT doc_id, source, {WORDS}::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, source_size * 3 AS cap,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
+), x AS (
+  SELECT *, sum(source_size) OVER ()::BIGINT AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent,
+    sum(weight) OVER (ORDER BY cap / weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open_weight
+  FROM w
+), y AS (
+  SELECT *, cap * open_weight < weight * (total - spent) AS full_up FROM x
+), z AS (
+  SELECT total - coalesce(sum(cap) FILTER (full_up), 0)::BIGINT AS share,
+    sum(weight) FILTER (NOT full_up)::BIGINT AS open_weight FROM y GROUP BY total
+), t AS (
+  SELECT source, source_size,
+    least(cap::DOUBLE, weight::DOUBLE * share::DOUBLE / z.open_weight::DOUBLE) AS target,
+    ('0x' || substr(md5('7:' || coalesce(source, chr(0))), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM y, z
+), r AS (
+  SELECT d.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    (row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) - 1)::DOUBLE AS i
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (floor((i + 1) * rate + u) - floor(i * rate + u))::BIGINT * size AS taken FROM r
 """,
 }
