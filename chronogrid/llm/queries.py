@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .jump_hash import shard_documents
 from .mixing import systematic_copies
+from .packing import pack, token_pieces
 
 SHARDS = 16
 
@@ -30,9 +31,17 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(token_pieces(docs)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
+    "op8_best_fit": op8_best_fit,
 }
 
 WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))"
