@@ -11,6 +11,7 @@ from .common import table
 from .jump_hash import shard_documents
 from .mixing import systematic_copies
 from .packing import pack, token_pieces
+from .secrets import scan_secrets, span_text
 
 SHARDS = 16
 
@@ -38,10 +39,26 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(span_text(F.col("fixed")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
     "op8_best_fit": op8_best_fit,
+    "op10_ownership_secrets": op10_ownership_secrets,
 }
 
 WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))"
