@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jump_hash import shard_documents
+from .line_dedup import build_state, dedup_lines
 from .mixing import systematic_copies
 from .packing import pack, token_pieces
-from .secrets import scan_secrets, span_text
+from .secret_scan import scan_secrets, span_text
 
 SHARDS = 16
 
 
+def op3_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = build_state(docs, keep_postings=False)
+    return dedup_lines(state, docs).select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs, SHARDS)
@@ -55,6 +67,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_cuckoo_lines": op3_cuckoo_lines,
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
     "op8_best_fit": op8_best_fit,
@@ -125,5 +138,22 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target,
   (floor((i + 1) * rate + u) - floor(i * rate + u))::BIGINT * size AS taken FROM r
+""",
+    "op3_cuckoo_lines": """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), k AS (
+  SELECT doc_id, i, line, translate(regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT k.*, last_doc IS NOT NULL AND last_doc <> doc_id AS gone FROM k LEFT JOIN c USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
 """,
 }
