@@ -11,6 +11,7 @@ from .common import table
 from .jump_hash import shard_documents
 from .line_dedup import build_state, dedup_lines
 from .mixing import systematic_copies
+from .near_dup import near_duplicates
 from .packing import pack, token_pieces
 from .secret_scan import scan_secrets, span_text
 
@@ -44,6 +45,11 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(token_pieces(docs)).select(
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cuckoo_lines": op3_cuckoo_lines,
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
+    "op7_odd_sketches": op7_odd_sketches,
     "op8_best_fit": op8_best_fit,
     "op10_ownership_secrets": op10_ownership_secrets,
 }
