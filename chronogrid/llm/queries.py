@@ -13,11 +13,16 @@ from .line_dedup import build_state, dedup_lines
 from .mixing import systematic_copies
 from .near_dup import near_duplicates
 from .packing import pack, token_pieces
+from .perplexity import judge_quality
 from .secret_scan import scan_secrets, span_text
 
 SHARDS = 16
 
 
+def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).drop("file", "at")
+
+
 def op3_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     state = build_state(docs, keep_postings=False)
@@ -73,6 +78,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_perplexity_bands": op2_perplexity_bands,
     "op3_cuckoo_lines": op3_cuckoo_lines,
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
