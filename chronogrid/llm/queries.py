@@ -15,6 +15,7 @@ from .near_dup import near_duplicates
 from .packing import pack, token_pieces
 from .perplexity import judge_quality
 from .secret_scan import scan_secrets, span_text
+from .topk import top_products
 
 SHARDS = 16
 
@@ -62,6 +63,10 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_three_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("long")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_systematic_mix": op6_systematic_mix,
     "op7_odd_sketches": op7_odd_sketches,
     "op8_best_fit": op8_best_fit,
+    "op9_three_phase": op9_three_phase,
     "op10_ownership_secrets": op10_ownership_secrets,
 }
 
@@ -168,5 +174,17 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
+""",
+    "op9_three_phase": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
