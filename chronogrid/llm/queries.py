@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -13,6 +13,7 @@ from .line_dedup import build_state, dedup_lines
 from .mixing import systematic_copies
 from .near_dup import near_duplicates
 from .packing import pack, token_pieces
+from .pii import find_personal_data
 from .perplexity import judge_quality
 from .secret_scan import scan_secrets, span_text
 from .topk import top_products
@@ -35,6 +36,22 @@ def op3_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans: str) -> Column:
+    """``kind:start:end`` of spans in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op4_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )
+
+
 def op5_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(docs, SHARDS)
@@ -85,6 +102,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perplexity_bands": op2_perplexity_bands,
     "op3_cuckoo_lines": op3_cuckoo_lines,
+    "op4_semi_markov": op4_semi_markov,
     "op5_jump_hash": op5_jump_hash,
     "op6_systematic_mix": op6_systematic_mix,
     "op7_odd_sketches": op7_odd_sketches,
