@@ -16,11 +16,16 @@ from .packing import pack, token_pieces
 from .pii import find_personal_data
 from .perplexity import judge_quality
 from .secret_scan import scan_secrets, span_text
+from .style_tree import extract_main_text
 from .topk import top_products
 
 SHARDS = 16
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("file", "at")
 
@@ -100,6 +105,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_style_tree": op1_style_tree,
     "op2_perplexity_bands": op2_perplexity_bands,
     "op3_cuckoo_lines": op3_cuckoo_lines,
     "op4_semi_markov": op4_semi_markov,
