@@ -2,8 +2,9 @@
 
 1. Each text becomes the set of its five-word shingles, its MinHash samples and band keys. Texts
    with one and the same set are one node from here on.
-2. Nodes that share a band key are candidates. With 40 bands of 6 samples a pair of similarity
-   0.85 shares none with a probability of 6e-9. Stars around the smallest node of each band key
+2. Nodes that share a band key are candidates. The 240 samples are cut into the widest bands with
+   which a pair at the limit shares no key with a probability under 1e-8: 40 bands of 6 at 0.85,
+   48 bands of 5 at 0.8. Stars around the smallest node of each band key
    give candidate clusters, without any list of pairs.
 3. Clusters are cut into blocks of bounded size and every pair of blocks is one small group. In
    it, odd sketches (the MinHash samples folded into a parity bitmap; Mitzenmacher, Pagh and
@@ -39,7 +40,8 @@ from .components import connected_components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
 WORDS = 5
-BANDS, ROWS = 40, 6
+SAMPLES = 240
+MISS = 1e-8  # chance that a pair just at the limit shares no band key
 SKETCH_BITS = 512
 BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
 SLACK = 0.17  # an estimate this far below the limit is not looked at; over six deviations
@@ -54,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20140407).integers(0, 2**63, WORDS + BANDS * ROWS, dtype=np.uint64)
+    draw = np.random.default_rng(20140407).integers(0, 2**63, WORDS + SAMPLES, dtype=np.uint64)
     odd = draw * np.uint64(2) + np.uint64(1)
     return odd[:WORDS], odd[WORDS:]
 
@@ -104,11 +106,19 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
+def band_shape(percent: int) -> tuple[int, int]:
+    """Number and width of the bands for a limit of similarity."""
+    for rows in range(SAMPLES, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (SAMPLES // rows) <= MISS:
+            return SAMPLES // rows, rows
+    return SAMPLES, 1
+
+
+def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key per band; the band's number goes into it."""
-    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(samples), 1))
-    for r in range(ROWS):
-        keys = _mix(keys + samples[:, r::ROWS][:, :BANDS])
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(samples), 1))
+    for r in range(rows):
+        keys = _mix(keys + samples[:, r::rows][:, :bands])
     return keys
 
 
@@ -129,7 +139,7 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         odd += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
     share = np.clip(1 - 2 * odd / SKETCH_BITS, 1e-9, None)
     differing = -SKETCH_BITS / 2 * np.log(share)  # samples of either side that the other lacks
-    return 1 - differing / (2 * BANDS * ROWS)
+    return 1 - differing / (2 * SAMPLES)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -161,11 +171,12 @@ def group_links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray,
     return out
 
 
-def mark_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mark_documents(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """``doc_id, _row, doc, n_shingles, a, b, bands`` of each row (written; no texts)."""
     rows = with_row_id(docs).select(
         F.col(key).alias("doc_id"), F.col("_row.file").alias("file"), F.col("_row.at").alias("at"), text_of(text).alias("text")
     )
+    shape = band_shape(percent)
     schema = rows.drop("text").schema.add("n_shingles", "long").add("a", "long").add("b", "long").add("bands", T.ArrayType(T.LongType()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +189,7 @@ def mark_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             digest = np.zeros((len(sets), 2), dtype=np.int64)
             bands: list = [[]] * len(sets)
             if full:
-                keys = band_keys(min_hashes([sets[i] for i in full])).view(np.int64)
+                keys = band_keys(min_hashes([sets[i] for i in full]), *shape).view(np.int64)
                 for i, k in zip(full, keys, strict=True):
                     digest[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
                     bands[i] = k
@@ -253,7 +264,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     ``kept`` marks the smallest id of each component, ``first`` exactly one row of it.
     """
-    marks = mark_documents(docs, key, text)
+    marks = mark_documents(docs, key, text, percent)
     full = marks.filter("n_shingles > 0")
     nodes = cut_lineage(
         full.groupBy("a", "b")
