@@ -10,7 +10,7 @@ crosses the limit enters or leaves the filter of its shard, so a deletion restor
 state before the insertion.
 
 A line's key is the line without the six white-space characters at both ends and with A-Z in
-lower case; it is known by two 64-bit digests.
+lower case; it is known by a digest of 128 bits.
 
 Defined cases: a null or empty text is one empty line; each row is a document; repeated rows
 with one id count each, and all of them keep a line for which that id is the largest; a null id
@@ -26,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, shared_folder
-from .common import BROADCAST_BYTES, SPACES, text_of
+from .common import BROADCAST_BYTES, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
@@ -41,22 +42,30 @@ SHARD_KEYS = 50_000  # keys wanted in one filter
 SLOTS = 4  # fingerprints in a bucket
 LOAD = 0.8  # share of slots filled
 KICKS = 500
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-KEY = "struct<a:bigint,b:bigint>"
+BLANKS = " \t\n\v\f\r"
+KEY_TYPE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def line_key(line: Column) -> Column:
-    """The key of a line as two digests; null for a line that is too short to count."""
-    text = F.translate(F.regexp_replace(line, f"^[{SPACES}]+|[{SPACES}]+$", ""), UPPER, LOWER)
-    digests = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("line"), text).alias("b"))
-    return F.when(F.length(text) >= MIN_CHARS, digests)
+def line_key(line: str) -> bytes | None:
+    """The 128-bit digest of a line's key; None for a line that is too short to count."""
+    import xxhash
 
+    if len(line) < MIN_CHARS or len(line := line.strip(BLANKS)) < MIN_CHARS:
+        return None
+    return xxhash.xxh3_128_digest(line.encode().lower())  # on bytes: only A-Z
 
-def line_keys(text: Column) -> Column:
-    """Keys of all lines in order, null for short ones (which are told apart by length first)."""
-    return F.transform(
-        F.split(text, "\n", -1), lambda x: F.when(F.length(x) >= MIN_CHARS, line_key(x))
-    )
+
+def batch_keys(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Lines of each text; text and line number of the long ones; their digests as (n, 2)."""
+    lines, places, digests = [], [], []
+    for at, text in enumerate(texts):
+        lines.append(text.split("\n"))
+        for k, line in enumerate(lines[-1]):
+            if (key := line_key(line)) is not None:
+                places.append((at, k))
+                digests.append(key)
+    keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+    return lines, np.array(places, dtype=np.int64).reshape(-1, 2), keys
 
 
 # --- cuckoo filters ---------------------------------------------------------------------------
@@ -158,14 +167,29 @@ class LineState:
     path: str
     shards: int
     filter_bytes: int
+    over: int  # keys at or over the limit
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
+def key_array(keys: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
+
+
 def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    keys = F.array_distinct(F.filter(line_keys(text_of(text)), lambda k: k.isNotNull()))
-    return docs.select(F.col(key).alias("doc_id"), F.explode(keys).alias("key"))
+    """``doc_id, key``: the distinct long lines of each document."""
+    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
+
+    def long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, places, keys = batch_keys(batch.column(1).to_pylist())
+            once = np.unique(np.column_stack([places[:, 0], keys]), axis=0) if len(keys) else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(once[:, 0])), key_array(once[:, 1:])], names=["doc_id", "key"]
+            )
+
+    return rows.mapInArrow(long_lines, rows.select("doc_id").schema.add("key", KEY_TYPE))
 
 
 def _counted(postings: DataFrame) -> DataFrame:
@@ -210,7 +234,7 @@ def _write_state(spark: SparkSession, postings: DataFrame | None, counts: DataFr
         held = None if postings is None else spark.read.parquet(f"{path}/postings")
         return _write_state(spark, held, spark.read.parquet(f"{path}/counts"), None)
     total = spark.read.parquet(f"{path}/filters").agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    return LineState(path, shards, total)
+    return LineState(path, shards, total, n_over)
 
 
 def build_state(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_postings: bool = True) -> LineState:
@@ -243,73 +267,112 @@ def delete_documents(state: LineState, ids: DataFrame) -> LineState:
 # --- application ------------------------------------------------------------------------------
 
 
-def candidate_lines(spark: SparkSession, state: LineState, keys: Column) -> Column:
-    """The distinct keys of a document that the filters let through."""
-    rows = state.read(spark, "filters").collect() if state.filter_bytes <= BROADCAST_BYTES else None
-    if rows is None:  # beyond the bound every long line goes to the exact table
-        return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
-    sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in rows})
-    shards = state.shards
-
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def maybe(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        tables = {k: np.frombuffer(v, dtype=np.uint16).reshape(-1, SLOTS) for k, v in sent.value.items()}
-        for first, second in a:
-            lengths = first.map(len).to_numpy()
-            if not lengths.sum():
-                yield pd.Series([[] for _ in lengths])
-                continue
-            x = np.concatenate(first.to_list()).astype(np.int64)
-            y = np.concatenate(second.to_list()).astype(np.int64)
-            home, found = (x >> 7) % shards, np.zeros(len(x), dtype=bool)
-            for k in np.unique(home):
-                if k in tables:
-                    at = home == k
-                    found[at] = filter_has(tables[k], x[at], y[at])
-            yield pd.Series(np.split(found, np.cumsum(lengths)[:-1]))
-
-    long_keys = F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
-    flags = maybe(F.transform(long_keys, lambda k: k["a"]), F.transform(long_keys, lambda k: k["b"]))
-    return F.filter(F.transform(F.arrays_zip(long_keys.alias("k"), flags.alias("f")), lambda p: F.when(p["f"], p["k"])), lambda k: k.isNotNull())
+class Filters:
+    """The filters of all shards in a task."""
+
+    def __init__(self, bits: dict[int, bytes], shards: int) -> None:
+        self.tables = {k: np.frombuffer(v, dtype=np.uint16).reshape(-1, SLOTS) for k, v in bits.items()}
+        self.shards = shards
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """False for keys that surely are under the limit."""
+        found, home = np.zeros(len(keys), dtype=bool), (keys[:, 0] >> 7) % self.shards
+        for k in np.unique(home):
+            if k in self.tables:
+                at = np.flatnonzero(home == k)
+                found[at] = filter_has(self.tables[k], keys[at, 0], keys[at, 1])
+        return found
+
+
+def _filters(spark: SparkSession, state: LineState):
+    """A broadcast of the filters, or None where they are over the bound."""
+    if state.filter_bytes > BROADCAST_BYTES:
+        return None
+    rows = state.read(spark, "filters").collect()
+    return spark.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in rows})
 
 
 def lines_to_drop(state: LineState, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, drop``: keys a document loses, for the documents that lose any.
 
-    The filters' survivors meet the exact table in an ordinary shuffle join, whose skewed
+    What the filters let through meets the exact table in a shuffle join, whose skewed
     partitions Spark splits.
     """
-    spark = docs.sparkSession
-    asked = docs.select(
-        F.col(key).alias("doc_id"),
-        F.explode(candidate_lines(spark, state, line_keys(text_of(text)))).alias("key"),
-    )
-    asked = cut_lineage(asked)
+    spark, shards = docs.sparkSession, state.shards
+    asked, sent = _postings(docs, key, text), _filters(spark, state)
+    if sent is not None:
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            maybe = Filters(sent.value, shards)
+            for batch in batches:
+                keys = np.column_stack([batch.column(1).field(i).to_numpy() for i in (0, 1)])
+                yield batch.filter(pa.array(maybe(keys)))
+
+        asked = asked.mapInArrow(sift, asked.schema)
     over = state.read(spark, "counts").filter(F.col("n_docs") >= MIN_DOCS)
-    lost = asked.join(over, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    lost = cut_lineage(asked).join(over, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
-def dedup_lines(state: LineState, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text that is left).
+def dedup_lines(
+    state: LineState, docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept`` (the text that is left).
 
-    Only texts that lose a line are shuffled, to meet their list of keys; the others pass by.
+    While the exact rows of the keys over the limit stay within ``bound`` bytes, they are sent to
+    the tasks next to the filters, and texts are read once and not shuffled. Beyond it each
+    document meets its list of keys in a join. Both ways give the same rows.
     """
-    drop = cut_lineage(lines_to_drop(state, docs, key, text)).select(
-        F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop")
-    )
-    maybe = F.size(candidate_lines(docs.sparkSession, state, line_keys(text_of(text)))) > 0
-    flagged = docs.select(*[docs[c] for c in docs.columns], maybe.alias("_maybe"))
-    touched = flagged.filter("_maybe").join(drop, F.col(key).eqNullSafe(F.col("_drop_id")), "left")
-    others = flagged.filter("NOT _maybe").withColumn("_drop", F.lit(None).cast(drop.schema["_drop"].dataType))
-    joined = touched.drop("_drop_id").unionByName(others)
-    lines = F.split(text_of(text), "\n", -1)
-    keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", line_key(x)), F.lit(False)))
-    kept = F.when(F.col("_drop").isNull(), text_of(text)).otherwise(F.array_join(keep, "\n"))
-    n_kept = F.when(F.col("_drop").isNull(), F.size(lines)).otherwise(F.size(keep))
-    return joined.select(
-        *docs.columns,
-        F.size(lines).cast("long").alias("_n_lines"),
-        (F.size(lines) - n_kept).cast("long").alias("_n_dropped"),
-        kept.alias("_kept"),
-    )
+    spark, shards = docs.sparkSession, state.shards
+    wide = docs.select(*docs.columns, F.col(key).alias("__id"), text_of(text).alias("__text"))
+    local = state.over * 40 <= bound and state.filter_bytes <= bound
+    if local:
+        over = state.read(spark, "counts").filter(F.col("n_docs") >= MIN_DOCS)
+        rows = over.select("key.a", "key.b", "last_doc").orderBy("a", "b").toArrow()
+        exact = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_pylist()))
+        sent = _filters(spark, state)
+    else:
+        drop = cut_lineage(lines_to_drop(state, docs, key, text)).withColumnRenamed("doc_id", "__drop_id").withColumnRenamed("drop", "__drop")
+        wide = wide.join(drop, F.col("__id").eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
+    names = [*docs.columns, "__n_lines", "__n_dropped", "__kept"]
+    width = len(docs.columns)
+
+    def local_losses(ids: list, places: np.ndarray, keys: np.ndarray, maybe: Filters) -> set[tuple[int, int]]:
+        firsts, seconds, last = exact.value
+        out = set()
+        for k in np.flatnonzero(maybe(keys)):
+            at = int(np.searchsorted(firsts, keys[k, 0]))
+            while at < len(firsts) and firsts[at] == keys[k, 0] and seconds[at] != keys[k, 1]:
+                at += 1
+            if at < len(firsts) and firsts[at] == keys[k, 0] and ids[places[k, 0]] != last[at]:
+                out.add((int(places[k, 0]), int(places[k, 1])))
+        return out
+
+    def joined_losses(lists: list, places: np.ndarray, keys: np.ndarray) -> set[tuple[int, int]]:
+        gone = [{(d["a"], d["b"]) for d in x or ()} for x in lists]
+        return {(int(i), int(k)) for (i, k), (a, b) in zip(places, keys.tolist(), strict=True) if (a, b) in gone[i]}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = Filters(sent.value, shards) if local else None
+        for batch in batches:
+            texts = batch.column(width + 1).to_pylist()
+            lines, places, keys = batch_keys(texts)
+            if local:
+                lost = local_losses(batch.column(width).to_pylist(), places, keys, maybe)
+            else:
+                lost = joined_losses(batch.column(width + 2).to_pylist(), places, keys)
+            touched = {i for i, _ in lost}
+            kept = [
+                "\n".join(x for k, x in enumerate(lines[i]) if (i, k) not in lost) if i in touched else text
+                for i, text in enumerate(texts)
+            ]
+            dropped = np.bincount([i for i, _ in lost], minlength=len(texts)) if lost else np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width], pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped.astype(np.int64)), pa.array(kept, pa.string())],
+                names=names,
+            )
+
+    schema = docs.select(*docs.columns).schema
+    for name, kind in (("__n_lines", T.LongType()), ("__n_dropped", T.LongType()), ("__kept", T.StringType())):
+        schema = schema.add(name, kind)
+    return wide.mapInArrow(apply, schema)

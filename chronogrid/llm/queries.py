@@ -35,9 +35,9 @@ def op3_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = build_state(docs, keep_postings=False)
     return dedup_lines(state, docs).select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
     )
 
 
