@@ -96,6 +96,13 @@ def reachable(a: np.ndarray, b: np.ndarray, cutoff: np.ndarray) -> np.ndarray:
     return head + rest + slack >= cutoff[:, None]
 
 
+def frame(query, cb, best: list) -> pd.DataFrame:
+    """Lists of a unit; typed also where there are none."""
+    return pd.DataFrame(
+        {"query": np.asarray(query, dtype=np.int64), "cb": np.asarray(cb, dtype=np.int32), "best": pd.Series(best, dtype=object)}
+    )
+
+
 def _units(queries: DataFrame, vectors: DataFrame, q_blocks: int, c_blocks: int):
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     mine = lambda n, name: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(name)
@@ -137,14 +144,12 @@ def top_products(
 
     def gather(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
-            return pd.DataFrame({"query": [], "cb": [], "best": []})
+            return frame([], [], [])
         scores, same = scores_of(queries, candidates)
         size = min(top, scores.shape[1])
         scores = np.where(same, -LONG - 1, scores)
         best = np.partition(scores, scores.shape[1] - size, axis=1)[:, -size:]
-        return pd.DataFrame(
-            {"query": queries["q_row"], "cb": queries["cb"], "best": [x[x > -LONG - 1] for x in best]}
-        )
+        return frame(queries["q_row"], queries["cb"], [x[x > -LONG - 1] for x in best])
 
     local = _units(queries, vectors, q_blocks, c_blocks).applyInPandas(gather, "query long, cb int, best array<long>")
     cutoffs = _merged(local, c_blocks, top, False).select(
@@ -154,9 +159,9 @@ def top_products(
     aimed = cut_lineage(queries.join(cutoffs, "row"))
 
     def resolve(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query": [], "cb": [], "best": []}
+        out = [], [], []
         if not len(queries) or not len(candidates):
-            return pd.DataFrame(columns)
+            return frame(*out)
         candidates = candidates.sort_values(["vec_id", "row"])
         a, b = matrix(queries["q_v"]), matrix(candidates["v"])
         cutoff = queries["q_cutoff"].to_numpy()
@@ -171,10 +176,10 @@ def top_products(
             keep = np.flatnonzero(exact >= cutoff[q])
             keep = keep[np.argsort(-exact[keep], kind="stable")][:top]  # ties stay in order of id
             if len(keep):
-                columns["query"].append(row)
-                columns["cb"].append(cb)
-                columns["best"].append([{"less": int(-exact[k]), "vec_id": int(ids[near[k]])} for k in keep])
-        return pd.DataFrame(columns)
+                out[0].append(row)
+                out[1].append(cb)
+                out[2].append([{"less": int(-exact[k]), "vec_id": int(ids[near[k]])} for k in keep])
+        return frame(*out)
 
     found = _units(aimed, vectors, q_blocks, c_blocks).applyInPandas(
         resolve, "query long, cb int, best array<struct<less:long,vec_id:long>>"
