@@ -115,12 +115,13 @@ def find_candidates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source"
 ) -> DataFrame:
     """``_row, doc_id, repository, owner, fixed, loose`` of each row, without its text."""
-    rows = with_row_id(docs).select(
-        "_row",
-        F.col(key).alias("doc_id"),
-        F.col(repository).cast("string").alias("repository"),
-        F.col(owner).cast("string").alias("owner"),
-        text_of(text).alias("_text"),
+    rows = with_row_id(
+        docs.select(
+            F.col(key).alias("doc_id"),
+            F.col(repository).cast("string").alias("repository"),
+            F.col(owner).cast("string").alias("owner"),
+            text_of(text).alias("_text"),
+        )
     )
     found = [(k, spans_of(F.col("_text"), k, i)) for i, k in enumerate(KINDS)]
     return rows.select(
@@ -170,7 +171,11 @@ def scan_secrets(docs: DataFrame, **options) -> DataFrame:
     found = cut_lineage(find_candidates(docs, **options))
     fixed_kinds = [k.name for k in KINDS if k.fixed]
     covered = lambda s, f: (s["start"] < f["end"]) & (f["start"] < s["end"])
-    own = F.filter("loose", lambda s: ~F.exists("fixed", lambda f: covered(s, f)))
+    own = F.filter(  # a loose span gives way to a fixed one and to a stricter loose one
+        "loose",
+        lambda s: ~F.exists("fixed", lambda f: covered(s, f))
+        & ~F.exists("loose", lambda f: covered(s, f) & (f["rank"] < s["rank"])),
+    )
     found = found.withColumn("loose", own)
     per_row = (
         judge_spans(found)
