@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import text_of, with_row_id
+from .common import maybe_broadcast, text_of, with_row_id
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
@@ -124,7 +124,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         levels[size] = cut_lineage(
             longer.groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         )
-    letters = levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("_v"))
+    letters = cut_lineage(levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("_v")))
+    n_langs = letters.count()
     lower = letters.select("lang", F.lit(0).cast("long").alias("gram"), (1 / F.col("_v")).alias("p"))
     done = []
     for size in range(1, ORDER + 1):
@@ -137,7 +138,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         held = lambda k: F.least(F.lit(0.95 * k), F.greatest(F.lit(0.1), F.coalesce(step(k), F.lit(0.5 * k))))
         rates = rates.select("lang", *[held(k).alias(f"d{k}") for k in (1, 2, 3)])
         context = F.shiftright("gram", BITS)
-        sized = level.join(rates, "lang").withColumn(
+        sized = level.join(maybe_broadcast(rates, n_langs, 64), "lang").withColumn(
             "cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         )
         kinds = lambda m: F.count(F.when(m, 1))
@@ -167,12 +168,18 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         lower = level
     whole = None
     for i, (size, level, _) in enumerate(done):
-        probabilities = level.select("lang", F.lit(size).alias("size"), "gram", F.log("p").alias("logp"))
-        if i + 1 < len(done):
-            probabilities = probabilities.join(done[i + 1][2], ["lang", "gram"], "left")
+        probabilities = level.select("lang", "gram", F.log("p").alias("logp"))
+        if i + 1 < len(done):  # a context at the start of a text has no probability of its own
+            probabilities = probabilities.join(done[i + 1][2], ["lang", "gram"], "full")
         else:
-            probabilities = probabilities.withColumn("logb", F.lit(None).cast("double"))
-        part = probabilities.select("lang", "size", "gram", "logp", F.coalesce("logb", F.lit(0.0)).alias("logb"))
+            probabilities = probabilities.withColumn("logb", F.lit(0.0))
+        part = probabilities.select(
+            "lang",
+            F.lit(size).alias("size"),
+            "gram",
+            F.coalesce("logp", F.lit(float("nan"))).alias("logp"),
+            F.coalesce("logb", F.lit(0.0)).alias("logb"),
+        )
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
@@ -241,7 +248,7 @@ class HashArrays:
         for size in range(ORDER, 0, -1):
             tail = grams[rows] & ((1 << (BITS * size)) - 1)
             place = self.find(gram_hash(lang, size, tail))
-            known = place >= 0
+            known = (place >= 0) & ~np.isnan(self.logp[place])
             out[rows[known]] = back[rows[known]] + self.logp[place[known]]
             rows, tail = rows[~known], tail[~known]
             if not len(rows):
@@ -304,13 +311,10 @@ def measure_documents(docs: DataFrame, model: DataFrame, key: str, text: str, la
     document's distinct n-grams meet the model in a shuffle join.
     """
     spark = docs.sparkSession
-    rows = with_row_id(docs).select(
-        F.col(key).alias("doc_id"),
-        F.col("_row.file").alias("file"),
-        F.col("_row.at").alias("at"),
-        language(F.col(lang)).alias("lang"),
-        text_of(text).alias("text"),
+    picked = docs.select(
+        F.col(key).alias("doc_id"), language(F.col(lang)).alias("lang"), text_of(text).alias("text")
     )
+    rows = with_row_id(picked).select("doc_id", "_row.file", "_row.at", "lang", "text")
     table = cut_lineage(hash_model(model))
     small = table.count() * 24 <= MODEL_BYTES
     sent = None
