@@ -89,14 +89,13 @@ def systematic_copies(
     third of all rows is spread over as many ranges as it needs. ``_row`` tells repeated rows
     apart.
     """
-    sizes = cut_lineage(
-        (docs if row else with_row_id(docs)).select(
-            F.col(key).alias("doc_id"),
-            F.col(row or "_row").alias("_row"),
-            F.col(source).cast("string").alias("source"),
-            word_count(text_of(text)).alias("size"),
-        )
+    picked = docs.select(
+        F.col(key).alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        word_count(text_of(text)).alias("size"),
+        *([F.col(row).alias("_row")] if row else []),
     )
+    sizes = cut_lineage(picked if row else with_row_id(picked))
     targets = cut_lineage(source_targets(sizes, weights, most))
     n_sources = targets.count()
     place = ordered(targets, [F.col("source").asc_nulls_last()], n_sources, "_nth")
@@ -148,11 +147,13 @@ def _before(place: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """The mixed documents: each row of ``docs`` as many times as it was drawn, same columns."""
-    fixed = with_row_id(docs, "_mix_row")
-    drawn = systematic_copies(fixed, source=source, row="_mix_row", **options)
-    times = drawn.filter("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    fixed = with_row_id(docs, "__mix_row")
+    drawn = systematic_copies(fixed, source=source, row="__mix_row", **options)
+    times = drawn.filter("copies > 0").select(
+        F.col("_row").alias("__mix_row"), F.col("copies").cast("int").alias("__copies")
+    )
     return (
-        fixed.join(times, fixed["_mix_row"] == times["_row"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        fixed.join(times, "__mix_row")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(*docs.columns)
     )

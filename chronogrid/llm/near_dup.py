@@ -173,9 +173,8 @@ def group_links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray,
 
 def mark_documents(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """``doc_id, _row, doc, n_shingles, a, b, bands`` of each row (written; no texts)."""
-    rows = with_row_id(docs).select(
-        F.col(key).alias("doc_id"), F.col("_row.file").alias("file"), F.col("_row.at").alias("at"), text_of(text).alias("text")
-    )
+    picked = with_row_id(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")))
+    rows = picked.select("doc_id", "_row.file", "_row.at", "text")
     shape = band_shape(percent)
     schema = rows.drop("text").schema.add("n_shingles", "long").add("a", "long").add("b", "long").add("bands", T.ArrayType(T.LongType()))
 
@@ -212,9 +211,7 @@ def confirmed_links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, cluster
     """Links ``u, v`` between nodes, enough of them to connect whatever is linked."""
     schema = "node long, words binary, sketch binary"
     place = nodes.join(clusters, "node").join(marks.select("doc", "file", "at"), "doc").select("node", "file", "at")
-    texts = with_row_id(docs).select(
-        F.col("_row.file").alias("file"), F.col("_row.at").alias("at"), text_of(text).alias("text")
-    )
+    texts = with_row_id(docs.select(text_of(text).alias("text"))).select("_row.file", "_row.at", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
