@@ -26,8 +26,8 @@ SIMILARITY = 80  # percent, of sets of five-word shingles
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` names by file and place."""
-    named = chosen.select(F.struct("file", "at").alias("_row"))
-    return with_row_id(docs).join(named, "_row", "left_semi").select(*docs.columns)
+    named = chosen.select(F.struct("file", "at").alias("__row"))
+    return with_row_id(docs, "__row").join(named, "__row", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
     cleaned = dedup_lines(build_state(docs, keep_postings=False), docs)
-    changed = F.col("_n_dropped") > 0
+    changed = F.col("__n_dropped") > 0
     return cleaned.select(
         *[
-            F.when(changed, F.col("_kept")).otherwise(F.col(c)).alias(c)
+            F.when(changed, F.col("__kept")).otherwise(F.col(c)).alias(c)
             if c == "text"
-            else F.when(changed, F.length("_kept").cast("long")).otherwise(F.col(c)).alias(c)
+            else F.when(changed, F.length("__kept").cast("long")).otherwise(F.col(c)).alias(c)
             if c == "n_chars"
             else F.col(c)
             for c in docs.columns
