@@ -15,7 +15,12 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COVERED = (range(0x80, 0x3000), range(0xFB00, 0xFB07), range(0xFE20, 0xFE30), range(0xFF01, 0xFF5F))
+# All of Unicode but the surrogates and the Hangul syllables, which follow a rule.
+COVERED = (range(0x80, 0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0x110000))
+SYLLABLES = (0xAC00, 0xD7A3)
+LEADS, VOWELS, TAILS = (
+    "".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+)
 
 # Python's str.isspace set, which is wider than Java's or RE2's \s.
 SPACE_CLASS = (
@@ -71,16 +76,36 @@ def fold(c: Column, form: str = "NFKD") -> Column:
     source, target, multi = _tables(form)
     plain = F.translate(c, source, target)
     lookup = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
-    spelled = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(lookup, ch), ch)), ""
+    first, last = map(chr, SYLLABLES)
+    unfolded = lambda ch: F.when(ch.between(first, last), _jamo(ch)).otherwise(
+        F.coalesce(F.element_at(lookup, ch), ch)
     )
+    spelled = F.array_join(F.transform(F.split(c, ""), unfolded), "")
+    several = _char_class([*multi])[:-1] + f"\\x{{{SYLLABLES[0]:x}}}-\\x{{{SYLLABLES[1]:x}}}]"
     return (
         F.when(~c.rlike(MAY_FOLD), c)
-        .when(c.rlike(_char_class(list(multi))), F.translate(spelled, source, target))
+        .when(c.rlike(several), F.translate(spelled, source, target))
         .otherwise(plain)
     )
 
 
+def _jamo(ch: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    place = F.ascii(ch) - SYLLABLES[0]
+    letter = lambda letters, at: F.substring(F.lit(letters), at, F.lit(1))
+    lead, vowel, tail = F.floor(place / 588), F.floor(place % 588 / 28), place % 28
+    return F.concat(
+        letter(LEADS, lead.cast("int") + 1),
+        letter(VOWELS, vowel.cast("int") + 1),
+        F.when(tail > 0, letter(TAILS, tail.cast("int"))).otherwise(""),
+    )
+
+
+def strip(c: Column) -> Column:
+    """Both ends without white space of any kind."""
+    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+
+
 def text(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.coalesce(col.cast("string"), F.lit(""))

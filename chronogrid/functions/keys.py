@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .folding import clean_ws, fold, squeeze, text
+from .folding import clean_ws, fold, squeeze, strip, text
 
 # --- fixed values -----------------------------------------------------------------
 WEEK_DAYS = ["Lundi", "Mardi", "Mercredi", "Jeudi", "Vendredi", "Samedi", "Dimanche"]
@@ -51,7 +51,7 @@ def ascii_key(c: Column | str, strict_titles: bool = False) -> Column:
 
 
 def resource_key(c: Column | str, strict_titles: bool = False) -> Column:
-    base = fold(F.upper(F.trim(text(c))))
+    base = fold(F.upper(strip(text(c))))
     return squeeze(drop_title(base, strict_titles))
 
 

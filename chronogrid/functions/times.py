@@ -10,6 +10,8 @@ from .folding import clean_ws, text
 RANGE = r"(\d{1,2})(?:[h:.](\d{0,2}))?-(\d{1,2})(?:[h:.](\d{0,2}))?"
 ALONE_RANGE = rf"(?<!\d){RANGE}(?!\d)"
 MAX_SESSION_MINUTES = 360
+NUMBER = r"^([+-]?)(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+MAX_ZEROS = 1000
 
 
 def _compact(c: Column) -> Column:
@@ -44,19 +46,24 @@ def clock(minutes: Column) -> Column:
 def canonical_decimal(c: Column | str) -> Column:
     """Finite decimal text without trailing zeros, so 2, 2.0 and "2.00" agree.
 
-    Plain digits are handled as text, which keeps every digit; an exponent goes
-    through a wide decimal. Anything that is no number stays as it is.
+    The point is shifted as text, which keeps every digit. A number with more than
+    ``MAX_ZEROS`` zeros to add is written as digits and an exponent, still one text for one
+    value. Anything that is no number stays as it is.
     """
     raw = clean_ws(c)
-    plain = raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
-    spread = raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$")
-    digits = F.when(plain, raw).when(spread, raw.try_cast("decimal(38,18)").cast("string"))
-    sign = F.when(digits.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(digits, "^[+-]", "")
-    whole = F.regexp_replace(F.substring_index(body, ".", 1), "^0+", "")
-    part = F.when(
-        body.contains("."), F.regexp_replace(F.substring_index(body, ".", -1), "0+$", "")
-    ).otherwise("")
-    whole = F.when(whole == "", "0").otherwise(whole)
-    number = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    return F.when(digits.isNull(), raw).when(number == "0", "0").otherwise(F.concat(sign, number))
+    parts = lambda g: F.regexp_extract(raw, NUMBER, g)
+    shift = F.when(parts(4) == "", F.lit(0)).otherwise(parts(4).try_cast("int"))
+    digits = F.regexp_replace(F.concat(parts(2), parts(3)), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    power = shift - F.length(parts(3)) + F.length(digits) - F.length(short)
+    size = F.length(short)
+    point = size + power  # digits before the point
+    number = (
+        F.when(F.abs(power) > MAX_ZEROS, F.concat(short, F.lit("e"), power.cast("string")))
+        .when(power >= 0, F.concat(short, F.repeat(F.lit("0"), power)))
+        .when(point > 0, F.concat(F.substring(short, F.lit(1), point), F.lit("."), F.substring(short, point + 1, size)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), short))
+    )
+    sign = F.when(parts(1) == "-", "-").otherwise("")
+    known = raw.rlike(NUMBER) & shift.isNotNull()
+    return F.when(~known, raw).when(short == "", "0").otherwise(F.concat(sign, number))

@@ -96,7 +96,10 @@ def entity_scores(questions: DataFrame, entities: DataFrame) -> DataFrame:
         .select("question_id", "norm", F.lit(1.0).alias("score"))
     )
     shared = asked.join(tokens, "token").groupBy("question_id", "norm").agg(
-        (0.86 + 0.04 * F.least(F.count(F.lit(1)) - 1, F.lit(2))).alias("score")
+        F.greatest(
+            0.86 + 0.04 * F.least(F.count(F.lit(1)) - 1, F.lit(2)),
+            F.lit(0.72 + (1.0 - TOKEN_FLOOR) * 0.8),  # an equal word is also the most similar one
+        ).alias("score")
     )
     as_text = lambda df: df.select(F.col("token").alias("text"))
     alike = similar_pairs(as_text(asked), as_text(tokens), TOKEN_FLOOR).filter("a <> b")

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.folding import SPACE_CLASS
 from .session import cut_lineage
 
-HOT_LIMIT = 1000  # a group outside the 1000 largest holds at most a thousandth of the rows
+BROADCAST_ROWS = 100_000  # a side with more rows is shuffled instead
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str, last: bool = False) -> DataFrame:
@@ -31,18 +32,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str, last: bool = Fals
 def hot_groups(
     df: DataFrame, keys: Sequence[str], split_rows: int, weight: str | None = None
 ) -> DataFrame:
-    """The at most ``HOT_LIMIT`` largest groups above ``split_rows`` with their split count.
+    """All groups above ``split_rows`` with the number of pieces their count asks for.
 
-    ``df`` may already be counted, with the count in ``weight``. The row limit is what
-    makes the result safe to broadcast at any scale.
+    ``df`` may already be counted, with the count in ``weight``. There are at most
+    ``rows / split_rows`` of them.
     """
     size = F.sum(weight) if weight else F.count(F.lit(1))
     return (
         df.groupBy(*keys)
         .agg(size.alias("_size"))
         .filter(F.col("_size") > split_rows)
-        .orderBy(F.desc("_size"), *keys)
-        .limit(HOT_LIMIT)
         .select(*keys, F.ceil(F.col("_size") / split_rows).cast("int").alias("_parts"))
     )
 
@@ -54,9 +53,10 @@ def split_sides(
 
     Rows of a hot group are spread over several salts on the left and repeated once
     per salt on the right, so an inner join that adds ``_salt`` to its keys gives the
-    same pairs.
+    same pairs. The counts are broadcast while they are few, else joined by a shuffle.
     """
-    small = F.broadcast(hot)
+    hot = cut_lineage(hot)
+    small = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = (
         left.join(small, list(keys), "left")
@@ -71,33 +71,31 @@ def split_sides(
     return spread, repeated
 
 
-def rank_in_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    name: str = "rank",
-    span: int = 1_000_000,
-) -> DataFrame:
-    """1-based position of each row within its key by the integer column ``order``.
+def rank_in_key(df: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
+    """1-based position of each row within its key by the column ``order``.
 
-    Rows are cut into ranges of ``order``; each range is ranked on its own and shifted by
-    the number of rows in the ranges before it, so a window holds one range of one key.
+    All rows are put into one order by key and ``order`` and cut into ranges of equal size,
+    whatever the values are; a range is ranked on its own and shifted by the rows its key has
+    in the ranges before it. A key has at most one count per range.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(order) / span))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(
+        df.repartitionByRange(parts, *keys, order).withColumn("_cut", F.spark_partition_id())
+    )
     before = (
         Window.partitionBy(*keys)
         .orderBy("_cut")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     shift = (
-        cut.groupBy(*keys, "_cut")
+        ranged.groupBy(*keys, "_cut")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     inside = Window.partitionBy(*keys, "_cut").orderBy(order)
     return (
-        cut.join(shift, [*keys, "_cut"])
+        ranged.join(shift, [*keys, "_cut"])
         .withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
         .drop("_cut", "_before")
     )
@@ -136,6 +134,6 @@ def settled(df: DataFrame, *cols: Column | str) -> DataFrame:
 
 
 def blank(c: Column | str) -> Column:
-    """True where the text is null or only spaces."""
+    """True where the text is null or only white space of any kind."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.trim(F.coalesce(col, F.lit(""))) == ""
+    return ~F.coalesce(col.cast("string"), F.lit("")).rlike("[^" + SPACE_CLASS[1:])

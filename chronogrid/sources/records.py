@@ -14,7 +14,7 @@ from ..functions.folding import clean_ws
 from ..operators import headers
 from ..operators.extract import LINE_BREAKS
 from ..session import cut_lineage
-from ..skew import settled
+from ..skew import blank, settled
 
 DELIMITERS = [";", ",", "\t", "|"]
 CONTAINERS = ["data", "users", "enseignants", "teachers", "rows", "items"]
@@ -48,18 +48,24 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a line; a delimiter inside double quotes does not cut."""
-    pattern = F.concat(F.lit("\\Q"), delimiter, F.lit('\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    cut = F.split(line, pattern, -1)
+    """Cells of a line; a delimiter inside double quotes does not cut.
+
+    Every second piece between quotes lies outside of them; only there the delimiter becomes
+    a mark to cut at.
+    """
+    pieces = F.transform(
+        F.split(line, '"', -1),
+        lambda x, i: F.when(i % 2 == 0, F.replace(x, delimiter, F.lit("\x00"))).otherwise(x),
+    )
+    cut = F.split(F.array_join(pieces, '"'), "\x00", -1)
     return F.transform(cut, lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
 def delimited_cells(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """Cells under the header row and delimiter that recognise the most columns."""
     docs = cut_lineage(docs)
-    lines = settled(docs, "doc", F.split("text", LINE_BREAKS).alias("ls")).select(
-        "doc", F.posexplode("ls").alias("row", "line")
-    ).filter("trim(line) <> ''")
+    filled = F.filter(F.split("text", LINE_BREAKS), lambda x: ~blank(x))  # blank lines don't count
+    lines = settled(docs, "doc", filled.alias("ls")).select("doc", F.posexplode("ls").alias("row", "line"))
     tried = lines.filter(F.col("row") < HEADER_ROWS).select(
         "doc", "row", "line", F.posexplode(F.array(*map(F.lit, DELIMITERS))).alias("turn", "delimiter")
     )
@@ -91,18 +97,24 @@ def read_delimited_auto(spark: SparkSession, path: str, learned: DataFrame) -> D
 def json_cells(docs: DataFrame) -> DataFrame:
     """Cells of a JSON list, of the first known list inside an object, or of one object."""
     body = F.trim("text")
+    parsed = F.try_parse_json(body)
     listed = F.coalesce(
         *[
-            F.when(F.get_json_object(body, f"$.{k}").startswith("["), F.get_json_object(body, f"$.{k}"))
+            F.when(
+                F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")).startswith("ARRAY"),
+                F.get_json_object(body, f"$.{k}"),
+            )
             for k in CONTAINERS
         ],
         F.concat(F.lit("["), body, F.lit("]")),
     )
     items = F.when(body.startswith("["), body).otherwise(listed)
-    maps = F.from_json(items, "array<map<string,string>>")
+    objects = F.from_json(items, "array<string>")  # an item that is no object is left out, not its list
     return (
-        settled(docs, "doc", maps.alias("maps"))
-        .select("doc", F.posexplode("maps").alias("row", "m"))
+        settled(docs, "doc", objects.alias("items"))
+        .select("doc", F.posexplode("items").alias("row", "item"))
+        .filter(F.col("item").startswith("{"))
+        .select("doc", "row", F.from_json("item", "map<string,string>").alias("m"))
         .select("doc", "row", F.posexplode(F.map_entries("m")).alias("col", "e"))
         .select("doc", "row", "col", F.col("e.key").alias("header"), F.coalesce("e.value", F.lit("")).alias("value"))
     )

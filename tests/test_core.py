@@ -30,7 +30,8 @@ def course(n, salle="A1", duree="2.0", **kw):
 
 @pytest.mark.parametrize("form", ["NFKD", "NFD"])
 def test_fold_agrees_with_unicodedata(spark, form):
-    chars = [chr(c) for block in folding.COVERED for c in block]
+    blocks = (range(0x80, 0x3000), range(0xFB00, 0xFB07), range(0xFE20, 0xFE30), range(0xFF01, 0xFF5F))
+    chars = [chr(c) for block in blocks for c in block]
     df = spark.createDataFrame([(c,) for c in chars], "c string")
     got = df.select("c", folding.fold(F.col("c"), form).alias("f")).collect()
     assert [r for r in got if r.f != folding.fold_text(r.c, form)] == []
@@ -100,7 +101,7 @@ def test_question_finds_its_entity(spark):
         "question_id int, question string",
     )
     got = {r.question_id: (r.kind, r.value, round(r.score, 4)) for r in linking.link_entity(asked, sessions(spark, rows)).collect()}
-    assert got[1][:2] == ("professeur", "Pr. DAOUDI Said") and got[1][2] == 0.86
+    assert got[1][:2] == ("professeur", "Pr. DAOUDI Said") and got[1][2] == 0.864
     assert got[2] == ("matière", "Réseaux", 1.0) and got[3] == ("salle", "A12", 1.0)
     assert got[4] == ("professeur", "Pr. DAOUDI Said", round(0.72 + (10 / 12 - 0.82) * 0.8, 4)) and 5 not in got
 
