@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .common import text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
@@ -287,8 +288,8 @@ def training_windows(docs: DataFrame, text: str = "text", limit: int = SAMPLE_WI
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["stretch"])
 
     found = docs.select(text_of(text).alias("text")).mapInArrow(cut, "stretch string")
-    rows = found.orderBy(F.xxhash64("stretch"), "stretch").limit(limit).collect()
-    return [r["stretch"] for r in rows]
+    first = cut_lineage(found.orderBy(F.xxhash64("stretch"), "stretch").limit(limit))
+    return sorted(r["stretch"] for r in first.collect())
 
 
 def all_spans(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
