@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import text_of, with_row_id
+from .common import maybe_broadcast, text_of, with_row_id
 from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
@@ -229,7 +229,11 @@ def confirmed_links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, cluster
     blocks = sized.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    blocked = cut_lineage(sized.join(cut_lineage(blocks), "component").drop("n_shingles"))
+    large = cut_lineage(blocks.filter("blocks > 1"))  # one row per BLOCK_NODES nodes at most
+    side = maybe_broadcast(large, large.count(), 32)
+    blocked = cut_lineage(
+        sized.join(side, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    )
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         sets.join(blocked, "node")
@@ -272,10 +276,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = confirmed_links(docs, marks, nodes, clusters, percent, text)
     joined = cut_lineage(connected_components(links))
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    lowest = cut_lineage(named.groupBy("component").agg(F.min("least").alias("component_id")))
     owners = cut_lineage(named.join(lowest, "component").select("a", "b", "component", "component_id"))
     placed = full.drop("bands").join(owners, ["a", "b"])
-    first = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("doc").alias("_first"))
+    holders = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = cut_lineage(holders.groupBy("component").agg(F.min("doc").alias("_first")))
     alone = marks.filter("n_shingles = 0").select(
         "doc_id", "file", "at", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first")
     )
