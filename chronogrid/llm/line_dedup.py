@@ -329,10 +329,12 @@ def dedup_lines(
     if local:
         over = state.read(spark, "counts").filter(F.col("n_docs") >= MIN_DOCS)
         rows = over.select("key.a", "key.b", "last_doc").orderBy("a", "b").toArrow()
-        exact = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_pylist()))
+        exact = spark.sparkContext.broadcast(
+            (rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_pylist())
+        )
         sent = _filters(spark, state)
     else:
-        drop = cut_lineage(lines_to_drop(state, docs, key, text)).withColumnRenamed("doc_id", "__drop_id").withColumnRenamed("drop", "__drop")
+        drop = cut_lineage(lines_to_drop(state, docs, key, text)).toDF("__drop_id", "__drop")
         wide = wide.join(drop, F.col("__id").eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
     names = [*docs.columns, "__n_lines", "__n_dropped", "__kept"]
     width = len(docs.columns)
@@ -368,7 +370,12 @@ def dedup_lines(
             ]
             dropped = np.bincount([i for i, _ in lost], minlength=len(texts)) if lost else np.zeros(len(texts), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:width], pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped.astype(np.int64)), pa.array(kept, pa.string())],
+                [
+                    *batch.columns[:width],
+                    pa.array([len(x) for x in lines], pa.int64()),
+                    pa.array(dropped.astype(np.int64)),
+                    pa.array(kept, pa.string()),
+                ],
                 names=names,
             )
 

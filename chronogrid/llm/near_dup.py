@@ -150,7 +150,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def group_links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def group_links(
+    sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
     """Confirmed links between members ``left`` and ``right`` that join two trees."""
     parent = list(range(len(sets)))
 
@@ -176,7 +178,10 @@ def mark_documents(docs: DataFrame, key: str, text: str, percent: int) -> DataFr
     picked = with_row_id(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")))
     rows = picked.select("doc_id", "_row.file", "_row.at", "text")
     shape = band_shape(percent)
-    schema = rows.drop("text").schema.add("n_shingles", "long").add("a", "long").add("b", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = rows.drop("text").schema
+    for name in ("n_shingles", "a", "b"):
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("bands", T.ArrayType(T.LongType()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -193,8 +198,10 @@ def mark_documents(docs: DataFrame, key: str, text: str, percent: int) -> DataFr
                     digest[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
                     bands[i] = k
             columns = [batch.column(i) for i in range(3)]
-            columns += [pa.array(np.array([len(s) for s in sets], dtype=np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bands, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "at", "n_shingles", "a", "b", "bands"])
+            columns.append(pa.array(np.array([len(s) for s in sets], dtype=np.int64)))
+            columns += [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bands, type=pa.list_(pa.int64()))]
+            names = ["doc_id", "file", "at", "n_shingles", "a", "b", "bands"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return cut_lineage(rows.mapInArrow(mark, schema).withColumn("doc", F.monotonically_increasing_id()))
 
@@ -207,7 +214,9 @@ def candidate_clusters(marks: DataFrame, nodes: DataFrame) -> DataFrame:
     return connected_components(stars)
 
 
-def confirmed_links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, text: str) -> DataFrame:
+def confirmed_links(
+    docs: DataFrame, marks: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, text: str
+) -> DataFrame:
     """Links ``u, v`` between nodes, enough of them to connect whatever is linked."""
     schema = "node long, words binary, sketch binary"
     place = nodes.join(clusters, "node").join(marks.select("doc", "file", "at"), "doc").select("node", "file", "at")
@@ -282,7 +291,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     holders = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = cut_lineage(holders.groupBy("component").agg(F.min("doc").alias("_first")))
     alone = marks.filter("n_shingles = 0").select(
-        "doc_id", "file", "at", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first")
+        "doc_id",
+        "file",
+        "at",
+        "n_shingles",
+        F.col("doc_id").alias("component_id"),
+        F.lit(True).alias("kept"),
+        F.lit(True).alias("first"),
     )
     return placed.join(first, "component").select(
         "doc_id",

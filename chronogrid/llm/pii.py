@@ -314,7 +314,7 @@ def find_personal_data(
         weights = fit(training_windows(docs, text))
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
     span = T.ArrayType(
-        T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+        T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
     )
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -325,7 +325,7 @@ def find_personal_data(
         for batch in batches:
             found = [all_spans(t, weights) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([named(b) for b, _ in found], arrow), pa.array([named(s) for _, s in found], arrow)],
+                [batch.column(0), *[pa.array([named(f[i]) for f in found], arrow) for i in (0, 1)]],
                 names=["doc_id", "base", "spans"],
             )
 

@@ -57,7 +57,9 @@ FURNITURE = frozenset(
     "head script style noscript template nav footer aside form button select textarea iframe object embed svg canvas "
     "dialog menu title input label audio video map".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
+)
 CLASSES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar sidenav aside footer masthead cookie cookies consent gdpr notice notices popup "
@@ -219,8 +221,10 @@ class Page:
 
 
 def _hosted(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), text_of(html).alias("html"))
+    host = F.lower(F.regexp_extract(text_of(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return pages.select(
+        F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), text_of(html).alias("html")
+    )
 
 
 def style_nodes(hosted: DataFrame) -> DataFrame:
@@ -245,7 +249,8 @@ def style_nodes(hosted: DataFrame) -> DataFrame:
             )
 
     seen = hosted.select("host", "html").mapInArrow(visit, "host string, style long, content long, children long")
-    kinds = F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")), F.struct(F.lit("children").alias("kind"), F.col("children").alias("value"))))
+    value = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value"))
+    kinds = F.explode(F.array(value("content"), value("children")))
     by_host = cut_lineage(
         seen.withColumn("_k", kinds)
         .groupBy("host", "style", F.col("_k.kind").alias("kind"), F.col("_k.value").alias("value"))

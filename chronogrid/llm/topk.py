@@ -99,7 +99,11 @@ def reachable(a: np.ndarray, b: np.ndarray, cutoff: np.ndarray) -> np.ndarray:
 def frame(query, cb, best: list) -> pd.DataFrame:
     """Lists of a unit; typed also where there are none."""
     return pd.DataFrame(
-        {"query": np.asarray(query, dtype=np.int64), "cb": np.asarray(cb, dtype=np.int32), "best": pd.Series(best, dtype=object)}
+        {
+            "query": np.asarray(query, dtype=np.int64),
+            "cb": np.asarray(cb, dtype=np.int32),
+            "best": pd.Series(best, dtype=object),
+        }
     )
 
 
