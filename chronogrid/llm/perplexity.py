@@ -41,7 +41,7 @@ MODEL_BYTES = 192 << 20  # a larger model is met by a shuffle join instead of a
 LOWER_WIDTH, UPPER_WIDTH = 4.0, 8.0  # deviations from the median; mixed languages are high but sound
 BIN = 1e-4  # resolution of medians
 SYMBOLS = "#*$%&|<>"  # fixed values
-MERGE_ROWS = 4_000_000
+MERGE_ROWS = 1_500_000
 
 
 # --- counting ---------------------------------------------------------------------------------
