@@ -64,6 +64,22 @@ def ordered(df: DataFrame, order: Sequence[Column], rows: int, name: str = "_pos
     )
 
 
+def mark_first(rows: DataFrame, within: Sequence[str], content: str, name: str, row: str = "_row") -> DataFrame:
+    """Adds ``name``: whether a row stands for all rows of equal ``content`` that share ``within``.
+
+    Only digests that occur more than once are met again; no content is shuffled while they are few.
+    """
+    keys = [*within, "_digest"]
+    coded = rows.withColumn("_digest", F.sha2(content, 256))
+    found = coded.groupBy(*keys).agg(F.min(row).alias("_one"), F.count(F.lit(1)).alias("_n"))
+    copied = cut_lineage(found.filter("_n > 1").drop("_n"))
+    return (
+        coded.join(maybe_broadcast(copied, copied.count(), 160), keys, "left")
+        .withColumn(name, F.coalesce(F.col(row) == F.col("_one"), F.lit(True)))
+        .drop("_digest", "_one")
+    )
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds an id of each row that stays the same between two reads.
 

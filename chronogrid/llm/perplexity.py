@@ -15,8 +15,9 @@ An n-gram is packed into a long, 12 bits per character. Characters from U+0800 o
 2048 symbols.
 
 Defined cases: a null or empty text has no words and fails; a null language is a language of its
-own; fewer than five characters have no perplexity and are judged by the rules alone; repeated
-rows count as often as they occur; an empty table gives an empty table.
+own; fewer than five characters have no perplexity and are judged by the rules alone; equal texts
+of a language are judged each but count once in its model and medians; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import maybe_broadcast, text_of, with_row_id
+from .common import mark_first, maybe_broadcast, text_of, with_row_id
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
@@ -304,17 +305,22 @@ def text_rules(text: str) -> tuple[int, int, int, int, int]:
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure_documents(docs: DataFrame, model: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """Rules and log-probability sums of each row.
+def language_rows(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """``doc_id, file, at, lang, counted, text``; one row of equal texts of a language is counted."""
+    picked = docs.select(
+        F.col(key).alias("doc_id"), language(F.col(lang)).alias("lang"), text_of(text).alias("text")
+    )
+    marked = mark_first(with_row_id(picked), ["lang"], "text", "counted")
+    return marked.select("doc_id", "_row.file", "_row.at", "lang", "counted", "text")
+
+
+def measure_documents(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Rules and log-probability sums of each row of ``language_rows``.
 
     The hash arrays are broadcast while they stay under ``MODEL_BYTES``. Beyond that each
     document's distinct n-grams meet the model in a shuffle join.
     """
-    spark = docs.sparkSession
-    picked = docs.select(
-        F.col(key).alias("doc_id"), language(F.col(lang)).alias("lang"), text_of(text).alias("text")
-    )
-    rows = with_row_id(picked).select("doc_id", "_row.file", "_row.at", "lang", "text")
+    spark = rows.sparkSession
     table = cut_lineage(hash_model(model))
     small = table.count() * 24 <= MODEL_BYTES
     sent = None
@@ -324,7 +330,7 @@ def measure_documents(docs: DataFrame, model: DataFrame, key: str, text: str, la
             tuple(arrays.column(c).to_numpy() for c in ("hash", "logp", "logb"))
         )
     fields = ", ".join(f"{c} long" for c in (*RULES, "n_scored"))
-    schema = rows.select("doc_id", "file", "at", "lang").schema
+    schema = rows.drop("text").schema
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,7 @@ def measure_documents(docs: DataFrame, model: DataFrame, key: str, text: str, la
                 hashes, logp, logb = sent.value
                 arrays = HashArrays(hashes.view(np.uint64), logp, logb)
             rules, sums, grams_of, count_of = [], [], [], []
-            for name, content in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for name, content in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 grams = packed(content)
                 rules.append((*text_rules(content), len(grams)))
                 if small:
@@ -346,7 +352,7 @@ def measure_documents(docs: DataFrame, model: DataFrame, key: str, text: str, la
                     count_of.append(n.astype(np.int64))
             if not rules:
                 continue
-            columns = [batch.column(i) for i in range(4)]
+            columns = [batch.column(i) for i in range(5)]
             columns += [pa.array(np.array(c, dtype=np.int64)) for c in zip(*rules, strict=True)]
             if small:
                 columns += [pa.array(np.array(c)) for c in zip(*sums, strict=True)]
@@ -378,8 +384,8 @@ def _median(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def perplexity_bands(measured: DataFrame) -> DataFrame:
-    """``lang, middle, spread, noise`` of the log-perplexity of each language."""
-    scored = measured.filter("n_scored > 0 AND n_words >= 10").withColumn("_x", -F.try_divide("logp", "n_scored"))
+    """``lang, middle, spread, noise`` of the log-perplexity of each language's distinct texts."""
+    scored = measured.filter("counted AND n_scored > 0 AND n_words >= 10").withColumn("_x", -F.try_divide("logp", "n_scored"))
     middle = cut_lineage(_median(scored, F.col("_x"), "middle"))
     spread = _median(scored.join(middle, "lang"), F.abs(F.col("_x") - F.col("middle")), "spread")
     square = F.try_divide("logp2", "n_scored") - F.pow(F.col("_x"), F.lit(2))
@@ -396,8 +402,9 @@ def judge_quality(
     upper: float = UPPER_WIDTH,
 ) -> DataFrame:
     """Rules, perplexity, bands, ``base_failed`` and ``kept`` of each row (``file, at``)."""
-    model = kneser_ney(count_grams(docs, text, lang))
-    measured = measure_documents(docs, model, key, text, lang)
+    rows = language_rows(docs, key, text, lang)
+    model = kneser_ney(count_grams(rows.filter("counted")))
+    measured = measure_documents(rows, model)
     bands = perplexity_bands(measured)
     x = -F.try_divide("logp", "n_scored")
     error = F.try_divide("noise", "n_scored")

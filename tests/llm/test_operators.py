@@ -71,6 +71,22 @@ def test_smoothed_model_sums_to_one(spark):
             assert 0.2 < total < 1.0 + 1e-9  # below one by what single sightings give away
 
 
+def prose(seed, n=60):
+    """Words of one made-up language."""
+    draw = np.random.default_rng(seed)
+    syllables = ["the", "an", "er", "on", "ing", "st", "re", "ou", "ha", "ti"]
+    words = ["".join(syllables[k] for k in draw.integers(0, 10, 1 + draw.integers(0, 3))) for _ in range(n)]
+    return " ".join(words)
+
+
+def test_a_clean_document_in_a_third_of_the_rows_stays(spark, tmp_path):
+    rows = [(k, prose(k), "en") for k in range(300)] + [(1000 + k, prose(7), "en") for k in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_perplexity_bands"](spark, str(tmp_path)).collect()
+    assert len(got) == 450
+    assert all(r.kept for r in got if r.doc_id == 7 or r.doc_id >= 1000)
+
+
 def test_line_dedup(result):
     rows = result("op3_cuckoo_lines")
     same([tuple(r) for r in rows], plain.line_dedup(DOCS))
