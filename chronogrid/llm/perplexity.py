@@ -2,9 +2,10 @@
 
 A character 5-gram model of each language is counted by Spark over all documents and smoothed by
 modified Kneser-Ney (Chen and Goodman, 1998): discounts from counts of counts, lower orders from
-continuation counts. Every probability lies in one array sorted by a 64-bit hash of language and
-n-gram, which tasks look up in batches. A 5-gram seen once in the whole corpus is scored as if
-unseen, because that one sighting is the document at hand.
+continuation counts. The counts lie in one array sorted by a 64-bit hash of language and n-gram,
+which tasks look up. A document is scored on the counts of all other texts: its own n-grams are
+taken out at every size, those of the lower sizes where it alone supports them. Only the discounts
+and the number of letters are those of the whole language.
 
 The median and the median deviation of the log-perplexity of each language set a lower and an
 upper band; for short documents the band is wider by the sampling error of a mean of so many
@@ -43,6 +44,7 @@ LOWER_WIDTH, UPPER_WIDTH = 4.0, 8.0  # deviations from the median; mixed languag
 BIN = 1e-4  # resolution of medians
 SYMBOLS = "#*$%&|<>"  # fixed values
 MERGE_ROWS = 1_500_000
+CONTEXT, DISCOUNT, LETTERS = 8, 16, 24  # added to sizes, so that all of the model has one key
 
 
 # --- counting ---------------------------------------------------------------------------------
@@ -111,13 +113,8 @@ def language(lang: Column) -> Column:
 # --- smoothing --------------------------------------------------------------------------------
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, size, gram, logp, logb`` of n-grams of every size.
-
-    ``logp`` is the interpolated log-probability of the last character after the others;
-    ``logb`` is what an n-gram that never occurred pays for being looked up one size shorter
-    when this one is its context.
-    """
+def count_levels(counts: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
+    """``lang, gram, n`` of each size, continuation counts below the largest, and ``lang, _v`` of letters."""
     levels = {ORDER: cut_lineage(counts)}
     for size in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * size)) - 1))
@@ -125,32 +122,80 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         levels[size] = cut_lineage(
             longer.groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         )
-    letters = cut_lineage(levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("_v")))
+    return levels, cut_lineage(levels[1].groupBy("lang").agg(F.count(F.lit(1)).alias("_v")))
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """``lang, d1, d2, d3``: what n-grams seen once, twice or more often give away."""
+    seen = lambda k: F.count(F.when(F.col("n") == k, 1)).cast("double")
+    rates = level.groupBy("lang").agg(*[seen(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+    step = lambda k: k - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
+    # Counts of counts of a small corpus can leave the range in which a discount makes sense.
+    held = lambda k: F.least(F.lit(0.95 * k), F.greatest(F.lit(0.1), F.coalesce(step(k), F.lit(0.5 * k))))
+    return rates.select("lang", *[held(k).alias(f"d{k}") for k in (1, 2, 3)])
+
+
+def with_discounts(level: DataFrame, rates: DataFrame, n_langs: int) -> DataFrame:
+    return level.join(maybe_broadcast(rates, n_langs, 64), "lang").withColumn(
+        "cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    )
+
+
+def context_totals(sized: DataFrame) -> DataFrame:
+    """``lang, context, total, spare``: counts after a context and what they give away."""
+    kinds = lambda m: F.count(F.when(m, 1))
+    return sized.groupBy("lang", F.shiftright("gram", BITS).alias("context")).agg(
+        F.sum("n").alias("total"),
+        (
+            kinds(F.col("n") == 1) * F.first("d1")
+            + kinds(F.col("n") == 2) * F.first("d2")
+            + kinds(F.col("n") > 2) * F.first("d3")
+        ).alias("spare"),
+    )
+
+
+def count_model(counts: DataFrame) -> DataFrame:
+    """``lang, size, gram, a, b``: all that is needed to smooth with any one text held out.
+
+    ``a`` is the count of an n-gram. Contexts (their length plus ``CONTEXT``) have their total and
+    spare mass, ``DISCOUNT`` plus a size the three discounts, ``LETTERS`` the number of letters.
+    """
+    levels, letters = count_levels(counts)
+    n_langs = letters.count()
+    row = lambda df, size, gram, a, b=F.lit(0.0): df.select(
+        "lang", F.lit(size).alias("size"), gram.cast("long").alias("gram"), a.cast("double").alias("a"), b.alias("b")
+    )
+    whole = row(letters, LETTERS, F.lit(0), F.col("_v"))
+    for size, level in levels.items():
+        rates = cut_lineage(discounts(level))
+        totals = context_totals(with_discounts(level, rates, n_langs))
+        parts = [
+            row(level, size, F.col("gram"), F.col("n")),
+            row(totals, CONTEXT + size - 1, F.col("context"), F.col("total"), F.col("spare")),
+            *[row(rates, DISCOUNT + size, F.lit(k), F.col(f"d{k}")) for k in (1, 2, 3)],
+        ]
+        for part in parts:
+            whole = whole.unionByName(part)
+    return whole
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``lang, size, gram, logp, logb`` of n-grams of every size, with no text held out but single sightings.
+
+    ``logp`` is the interpolated log-probability of the last character after the others;
+    ``logb`` is what an n-gram that never occurred pays for being looked up one size shorter
+    when this one is its context. The tests hold the smoothing against its sums.
+    """
+    levels, letters = count_levels(counts)
     n_langs = letters.count()
     lower = letters.select("lang", F.lit(0).cast("long").alias("gram"), (1 / F.col("_v")).alias("p"))
     done = []
     for size in range(1, ORDER + 1):
         level = levels[size]
-        seen = lambda k: F.count(F.when(F.col("n") == k, 1)).cast("double")
-        rates = level.groupBy("lang").agg(*[seen(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-        step = lambda k: k - F.try_divide((k + 1) * y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
-        # Counts of counts of a small corpus can leave the range in which a discount makes sense.
-        held = lambda k: F.least(F.lit(0.95 * k), F.greatest(F.lit(0.1), F.coalesce(step(k), F.lit(0.5 * k))))
-        rates = rates.select("lang", *[held(k).alias(f"d{k}") for k in (1, 2, 3)])
         context = F.shiftright("gram", BITS)
-        sized = level.join(maybe_broadcast(rates, n_langs, 64), "lang").withColumn(
-            "cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        )
-        kinds = lambda m: F.count(F.when(m, 1))
-        totals = sized.groupBy("lang", context.alias("context")).agg(
-            F.sum("n").alias("total"),
-            (
-                kinds(F.col("n") == 1) * F.first("d1")
-                + kinds(F.col("n") == 2) * F.first("d2")
-                + kinds(F.col("n") > 2) * F.first("d3")
-            ).alias("spare"),
-        )
+        sized = with_discounts(level, discounts(level), n_langs)
+        totals = context_totals(sized)
         weight = F.col("spare") / F.col("total")
         shorter = F.lit(0).cast("long") if size == 1 else F.col("gram").bitwiseAND(F.lit((1 << (BITS * (size - 1))) - 1))
         base = lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("low"))
@@ -198,7 +243,7 @@ def gram_hash(lang: str, size: int, grams: np.ndarray) -> np.ndarray:
 
 
 def hash_model(model: DataFrame) -> DataFrame:
-    """``hash, logp, logb`` of the model."""
+    """``hash, a, b`` of the model."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,18 +256,18 @@ def hash_model(model: DataFrame) -> DataFrame:
                     at = (names == lang) & (sizes == size)
                     out[at] = gram_hash(lang, int(size), grams[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out.view(np.int64)), batch.column(3), batch.column(4)], names=["hash", "logp", "logb"]
+                [pa.array(out.view(np.int64)), batch.column(3), batch.column(4)], names=["hash", "a", "b"]
             )
 
-    return model.mapInArrow(hashed, "hash long, logp double, logb double")
+    return model.mapInArrow(hashed, "hash long, a double, b double")
 
 
-class HashArrays:
+class SortedHashes:
     """Sorted hashes with an index of their leading bits, so a lookup is a few array steps."""
 
-    def __init__(self, hashes: np.ndarray, logp: np.ndarray, logb: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.logp, self.logb = hashes[order], logp[order], logb[order]
+        self.hashes, self.values = hashes[order], (first[order], second[order])
         self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length()))
         heads = (self.hashes >> self.shift).astype(np.int64)
         self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1))
@@ -242,6 +287,14 @@ class HashArrays:
             open_rows, at, end = open_rows[go], at[go], end[go]
         return out
 
+
+class HashArrays(SortedHashes):
+    """Smoothed log-probabilities of a whole corpus."""
+
+    def __init__(self, hashes: np.ndarray, logp: np.ndarray, logb: np.ndarray) -> None:
+        super().__init__(hashes, logp, logb)
+        self.logp, self.logb = self.values
+
     def score(self, lang: str, grams: np.ndarray) -> np.ndarray:
         """Log-probability of each packed n-gram, backing off where it never occurred."""
         out, back = np.zeros(len(grams)), np.zeros(len(grams))
@@ -262,6 +315,104 @@ class HashArrays:
         return out
 
 
+def by_last(grams: np.ndarray) -> np.ndarray:
+    """Packed n-grams with their characters in reverse, so that equal ends are neighbours."""
+    out = np.zeros_like(grams)
+    for k in range(ORDER):
+        out = (out << BITS) | ((grams >> (BITS * k)) & ((1 << BITS) - 1))
+    return out
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.r_[True, x[1:] != x[:-1]]
+
+
+def keys_of(lang: str, grams: np.ndarray) -> np.ndarray:
+    """All hashes that scoring the distinct n-grams of a text looks up."""
+    out = [gram_hash(lang, LETTERS, np.zeros(1, np.int64))]
+    for size in range(ORDER, 0, -1):
+        own = np.unique(grams & ((1 << (BITS * size)) - 1))
+        out.append(gram_hash(lang, size, own))
+        out.append(gram_hash(lang, CONTEXT + size - 1, np.unique(own >> BITS)))
+        out.append(gram_hash(lang, DISCOUNT + size, np.arange(1, 4)))
+    return np.concatenate(out)
+
+
+class HeldOutCounts(SortedHashes):
+    """Counts of ``count_model``; a text is smoothed and scored on what all others leave of them."""
+
+    def __init__(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        super().__init__(hashes, a, b)
+        self.rates: dict[tuple[str, int], np.ndarray] = {}
+
+    def get(self, lang: str, size: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = self.find(gram_hash(lang, size, grams))
+        return tuple(np.where(place >= 0, v[place], 0.0) for v in self.values)
+
+    def discounts(self, lang: str, size: int) -> np.ndarray:
+        if (lang, size) not in self.rates:
+            self.rates[lang, size] = np.r_[0.0, self.get(lang, DISCOUNT + size, np.arange(1, 4))[0]]
+        return self.rates[lang, size]
+
+    def score(self, lang: str, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log-probability of each of a text's distinct n-grams, given sorted and with their counts.
+
+        From the largest size down, ``taken`` is what the text holds of each count: its sightings,
+        then the longer n-grams that end so and that no other text has.
+        """
+        steps, order = [], np.argsort(by_last(grams))
+        n, taken = self.get(lang, ORDER, grams)[0], counts.astype(np.float64)
+        for size in range(ORDER, 0, -1):
+            rates = self.discounts(lang, size)
+            left = np.maximum(n - taken, 0.0)
+            cut = rates[np.minimum(left, 3).astype(np.int64)]
+            freed = rates[np.minimum(n, 3).astype(np.int64)] - cut
+            context = grams >> BITS
+            if size == ORDER:  # n-grams of one context are neighbours here
+                new = _starts(context)
+                at, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                total, spare = self.get(lang, CONTEXT + size - 1, context[first])
+                total, spare = total - np.add.reduceat(taken, first), spare - np.add.reduceat(freed, first)
+                total, spare = total[at], spare[at]
+            else:
+                total, spare = self.get(lang, CONTEXT + size - 1, context)
+                changed = np.flatnonzero(taken)
+                if len(changed):
+                    names, at = np.unique(context[changed], return_inverse=True)
+                    place = np.minimum(np.searchsorted(names, context), len(names) - 1)
+                    hit = names[place] == context
+                    total = total - np.where(hit, np.bincount(at, taken[changed])[place], 0.0)
+                    spare = spare - np.where(hit, np.bincount(at, freed[changed])[place], 0.0)
+            known = total > 0.5  # no other text has the context: the shorter one decides alone
+            total = np.where(known, total, 1.0)
+            own = np.where(known, np.maximum(left - cut, 0.0) / total, 0.0)
+            weight = np.where(known, spare / total, 1.0)
+            gone = ((n > 0) & (left <= 0)).astype(np.float64)
+            if size == ORDER:
+                grams, own, weight, gone = grams[order], own[order], weight[order], gone[order]
+            if size == 1:
+                break
+            tail = grams & ((1 << (BITS * (size - 1))) - 1)
+            new = _starts(tail)
+            at = np.cumsum(new) - 1
+            steps.append((own, weight, at))
+            grams, taken = tail[new], np.bincount(at, gone)
+            n = self.get(lang, size - 1, grams)[0]
+        p = own + weight / self.get(lang, LETTERS, np.zeros(1, np.int64))[0]
+        for own, weight, at in reversed(steps):
+            p = own + weight * p[at]
+        out = np.empty(len(p))
+        out[order] = np.log(p)
+        return out
+
+    def sums(self, lang: str, grams: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+        """Sums of the log-probabilities and of their squares over a text."""
+        if not len(grams):
+            return 0.0, 0.0
+        p = self.score(lang, grams, counts)
+        return float(counts @ p), float(counts @ (p * p))
+
+
 # --- rules ------------------------------------------------------------------------------------
 
 
@@ -314,21 +465,19 @@ def language_rows(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return marked.select("doc_id", "_row.file", "_row.at", "lang", "counted", "text")
 
 
-def measure_documents(rows: DataFrame, model: DataFrame) -> DataFrame:
+def measure_documents(rows: DataFrame, model: DataFrame, bound: int = MODEL_BYTES) -> DataFrame:
     """Rules and log-probability sums of each row of ``language_rows``.
 
-    The hash arrays are broadcast while they stay under ``MODEL_BYTES``. Beyond that each
-    document's distinct n-grams meet the model in a shuffle join.
+    The hash arrays are broadcast while they stay under ``bound``. Beyond that each document
+    gets the part of the model that it looks up by a shuffle join.
     """
     spark = rows.sparkSession
     table = cut_lineage(hash_model(model))
-    small = table.count() * 24 <= MODEL_BYTES
+    small = table.count() * 24 <= bound
     sent = None
     if small:
         arrays = table.toArrow()
-        sent = spark.sparkContext.broadcast(
-            tuple(arrays.column(c).to_numpy() for c in ("hash", "logp", "logb"))
-        )
+        sent = spark.sparkContext.broadcast(tuple(arrays.column(c).to_numpy() for c in ("hash", "a", "b")))
     fields = ", ".join(f"{c} long" for c in (*RULES, "n_scored"))
     schema = rows.drop("text").schema
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
@@ -337,19 +486,17 @@ def measure_documents(rows: DataFrame, model: DataFrame) -> DataFrame:
         arrays = None
         for batch in batches:
             if small and arrays is None:
-                hashes, logp, logb = sent.value
-                arrays = HashArrays(hashes.view(np.uint64), logp, logb)
-            rules, sums, grams_of, count_of = [], [], [], []
+                hashes, a, b = sent.value
+                arrays = HeldOutCounts(hashes.view(np.uint64), a, b)
+            rules, sums, lists = [], [], []
             for name, content in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 grams = packed(content)
                 rules.append((*text_rules(content), len(grams)))
+                grams, n = np.unique(grams, return_counts=True)
                 if small:
-                    p = arrays.score(name, grams)
-                    sums.append((float(p.sum()), float((p * p).sum())))
+                    sums.append(arrays.sums(name, grams, n))
                 else:
-                    grams, n = np.unique(grams, return_counts=True)
-                    grams_of.append(gram_hash(name, ORDER, grams).view(np.int64))
-                    count_of.append(n.astype(np.int64))
+                    lists.append((grams, n, keys_of(name, grams).view(np.int64) if len(grams) else grams))
             if not rules:
                 continue
             columns = [batch.column(i) for i in range(5)]
@@ -357,21 +504,31 @@ def measure_documents(rows: DataFrame, model: DataFrame) -> DataFrame:
             if small:
                 columns += [pa.array(np.array(c)) for c in zip(*sums, strict=True)]
             else:
-                columns += [pa.array(x, type=pa.list_(pa.int64())) for x in (grams_of, count_of)]
+                columns += [pa.array(x, type=pa.list_(pa.int64())) for x in zip(*lists, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in names])
 
-    tail = "logp double, logp2 double" if small else "grams array<bigint>, counts array<bigint>"
+    tail = "logp double, logp2 double" if small else "grams array<bigint>, counts array<bigint>, keys array<bigint>"
     names = f"{head}, {fields}, {tail}".split(", ")
     found = cut_lineage(rows.mapInArrow(measured, f"{head}, {fields}, {tail}"))
     if small:
         return found
-    pairs = found.select("file", "at", F.explode(F.arrays_zip("grams", "counts")).alias("_g")).select(
-        "file", "at", F.col("_g.grams").alias("hash"), F.col("_g.counts").alias("_n")
-    )
-    sums = pairs.join(table, "hash").groupBy("file", "at").agg(
-        F.sum(F.col("_n") * F.col("logp")).alias("logp"), F.sum(F.col("_n") * F.col("logp") ** 2).alias("logp2")
-    )
-    return found.drop("grams", "counts").join(sums, ["file", "at"], "left").fillna(0.0, ["logp", "logp2"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name, grams, n, part in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                hashes = np.array([x["hash"] for x in part], dtype=np.int64).view(np.uint64)
+                a, b = (np.array([x[c] for x in part], dtype=np.float64) for c in ("a", "b"))
+                sums.append(HeldOutCounts(hashes, a, b).sums(name, np.array(grams), np.array(n)))
+            if sums:
+                columns = [batch.column(0), batch.column(1), *[pa.array(np.array(c)) for c in zip(*sums, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "at", "logp", "logp2"])
+
+    pairs = found.select("file", "at", F.explode("keys").alias("hash")).join(table, "hash")
+    parts = pairs.groupBy("file", "at").agg(F.collect_list(F.struct("hash", "a", "b")).alias("part"))
+    held = found.select("file", "at", "lang", "grams", "counts").join(parts, ["file", "at"])
+    sums = held.mapInArrow(summed, "file long, at long, logp double, logp2 double")
+    return found.drop("grams", "counts", "keys").join(sums, ["file", "at"], "left").fillna(0.0, ["logp", "logp2"])
 
 
 def _median(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -403,7 +560,7 @@ def judge_quality(
 ) -> DataFrame:
     """Rules, perplexity, bands, ``base_failed`` and ``kept`` of each row (``file, at``)."""
     rows = language_rows(docs, key, text, lang)
-    model = kneser_ney(count_grams(rows.filter("counted")))
+    model = count_model(count_grams(rows.filter("counted")))
     measured = measure_documents(rows, model)
     bands = perplexity_bands(measured)
     x = -F.try_divide("logp", "n_scored")

@@ -87,6 +87,67 @@ def test_a_clean_document_in_a_third_of_the_rows_stays(spark, tmp_path):
     assert all(r.kept for r in got if r.doc_id == 7 or r.doc_id >= 1000)
 
 
+def held_out_score(texts, left_out):
+    """Log-probability sum of one of some texts on a model of the others, without arrays."""
+
+    def levels(of):
+        out = {5: collections.Counter(t[i : i + 5] for t in of for i in range(len(t) - 4))}
+        for size in (4, 3, 2, 1):
+            out[size] = collections.Counter(g[1:] for g in out[size + 1])
+        return out
+
+    whole, others = levels(texts), levels([t for t in texts if t != left_out])
+    cuts = {}
+    for size, level in whole.items():
+        n = collections.Counter(level.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        for k in (1, 2, 3):
+            step = k - (k + 1) * y * n[k + 1] / n[k] if n[k] and y is not None else 0.5 * k
+            cuts[size, k] = min(0.95 * k, max(0.1, step))
+
+    def p(gram):
+        if not gram:
+            return 1 / len(whole[1])
+        level = others[len(gram)]
+        after = [(n, cuts[len(gram), min(n, 3)]) for g, n in level.items() if g[:-1] == gram[:-1]]
+        low = p(gram[1:])
+        if not after:
+            return low
+        n = level[gram]
+        own = max(0, n - cuts[len(gram), min(n, 3)]) if n else 0
+        return (own + sum(c for _, c in after) * low) / sum(n for n, _ in after)
+
+    return sum(math.log(p(left_out[i : i + 5])) for i in range(len(left_out) - 4))
+
+
+def test_documents_are_scored_on_the_others_alone(spark, tmp_path):
+    texts = [prose(1, 12), prose(2, 15), "abab" * 9 + " the an er", prose(3, 20), "zq zq jx " * 3, "tiny one"]
+    rows = [(k, t, "en") for k, t in enumerate([*texts, texts[0]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).write.parquet(f"{tmp_path}/d")
+    docs = perplexity.language_rows(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text", "lang")
+    model = perplexity.count_model(perplexity.count_grams(docs.filter("counted")))
+    for bound in (perplexity.MODEL_BYTES, 0):
+        got = perplexity.measure_documents(docs, model, bound=bound).collect()
+        assert len(got) == len(rows) and sum(r.counted for r in got) == len(texts)
+        for r in got:
+            assert math.isclose(r.logp, held_out_score(texts, rows[r.doc_id][1]), rel_tol=1e-9)
+
+
+def test_texts_unlike_their_language_score_high(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    odd = [
+        " ".join("".join(map(chr, draw.integers(0x4E00, 0x9FFF, 6))) for _ in range(80)),
+        " ".join("".join(map(chr, draw.integers(0x100, 0x24F, 6))) for _ in range(80)),
+        " ".join("".join(map(chr, draw.choice([*range(48, 58), *range(65, 91), *range(97, 123)], 8))) for _ in range(80)),
+    ]
+    rows = [(k, prose(k), "en") for k in range(300)] + [(1000 + k, t, "en") for k, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_perplexity_bands"](spark, str(tmp_path)).collect()}
+    for k in range(len(odd)):
+        assert got[1000 + k].perplexity > got[1000 + k].upper_band and not got[1000 + k].kept
+    assert all(got[k].kept for k in range(300))
+
+
 def test_line_dedup(result):
     rows = result("op3_cuckoo_lines")
     same([tuple(r) for r in rows], plain.line_dedup(DOCS))
