@@ -9,9 +9,9 @@ role or class already says that they are furniture (menus, adverts, forms, comme
 as well. What is left of the article, or of the body where there is none, is the main text.
 
 Defined cases: null, empty or tagless html gives its plain text, mostly the empty text; a null
-or odd address belongs to the host ""; repeated pages count as pages of their own; unclosed or
-broken tags are closed as browsers do; an empty table gives an empty table; other columns are
-not read.
+or odd address belongs to the host ""; equal pages of a host count once in its tree and those of
+all hosts once in the corpus's; unclosed or broken tags are closed as browsers do; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import BROADCAST_BYTES, text_of
+from .common import BROADCAST_BYTES, mark_first, text_of, with_row_id
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
@@ -222,14 +222,18 @@ class Page:
 
 def _hosted(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     host = F.lower(F.regexp_extract(text_of(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select(
-        F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), text_of(html).alias("html")
+    return with_row_id(
+        pages.select(
+            F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), text_of(html).alias("html")
+        )
     )
 
 
 def style_nodes(hosted: DataFrame) -> DataFrame:
     """``host, style, pages, importance`` of the style trees of all hosts and of the corpus ("").
 
+    Each distinct page is visited once per host; one of all hosts' visits counts in the corpus.
+
     Equal values are counted before they are summed up, so a host with a third of all pages is
     spread over its values. A distribution with counts k over m pages has the normalised entropy
     ``1 - sum(k log k) / (m log m)``.
@@ -237,27 +241,35 @@ def style_nodes(hosted: DataFrame) -> DataFrame:
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, parts = [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts, once, parts = [], [], []
+            for host, first, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 seen = Page(source).styles_seen()
                 hosts += [host] * len(seen[0])
+                once += [first] * len(seen[0])
                 parts.append(np.column_stack(seen))
             rows = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)]],
-                names=["host", "style", "content", "children"],
+                [
+                    pa.array(hosts, pa.string()),
+                    pa.array(once, pa.bool_()),
+                    *[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)],
+                ],
+                names=["host", "once", "style", "content", "children"],
             )
 
-    seen = hosted.select("host", "html").mapInArrow(visit, "host string, style long, content long, children long")
+    distinct = mark_first(mark_first(hosted, ["host"], "html", "own"), [], "html", "once").filter("own")
+    schema = "host string, once boolean, style long, content long, children long"
+    seen = distinct.select("host", "once", "html").mapInArrow(visit, schema)
     value = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value"))
     kinds = F.explode(F.array(value("content"), value("children")))
     by_host = cut_lineage(
         seen.withColumn("_k", kinds)
         .groupBy("host", "style", F.col("_k.kind").alias("kind"), F.col("_k.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("k"))
+        .agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("once"), 1)).alias("k_once"))
     )
-    overall = by_host.groupBy(F.lit("").alias("host"), "style", "kind", "value").agg(F.sum("k").alias("k"))
-    counted = by_host.filter("host <> ''").unionByName(overall)
+    shared = by_host.filter("k_once > 0").groupBy(F.lit("").alias("host"), "style", "kind", "value")
+    overall = shared.agg(F.sum("k_once").alias("k"))
+    counted = by_host.filter("host <> ''").drop("k_once").unionByName(overall)
     spread = F.sum(F.col("k") * F.log("k"))
     entropy = counted.groupBy("host", "style", "kind").agg(F.sum("k").alias("m"), spread.alias("s"))
     share = F.when(F.col("m") > 1, 1 - F.try_divide("s", F.col("m") * F.log("m"))).otherwise(1.0)

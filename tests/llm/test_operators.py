@@ -34,6 +34,17 @@ def test_main_text(result):
     assert len(result("op1_style_tree")) == len(pages())
 
 
+def test_main_text_of_a_host_of_copies(spark, tmp_path):
+    page = "<html><body><nav>Menu</nav><article class='{}-post'><p class='{}-p'>{}</p></article></body></html>"
+    rows = [(k, f"http://one.example.com/?session={k}", page.format("one", "one", "The only page.")) for k in range(50)]
+    rows += [(100 + k, f"http://two.example.com/{k}", page.format("two", "two", "Mostly this.")) for k in range(90)]
+    rows += [(200 + k, f"http://two.example.com/x{k}", page.format("two", "two", f"Text {k} of it.")) for k in range(5)]
+    rows += [(300 + k, f"http://mirror{k}.example.com/", page.format("m", "m", "A mirrored page.")) for k in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["op1_style_tree"](spark, str(tmp_path)).collect()}
+    assert got == {i: html.split("p'>")[1].split("<")[0] for i, _, html in rows}
+
+
 def test_broken_pages():
     read = lambda s: style_tree.Page(s).main_text(set())
     assert read('<div>one</div><div class=x>two<br>three</div><p class="') == "one\ntwo three"
