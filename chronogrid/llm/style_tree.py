@@ -292,17 +292,38 @@ def unimportant_styles(nodes: DataFrame, limit: float = LIMIT, least_pages: int
     return low.join(fine, "style", "left_anti")
 
 
-def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def own_unimportant(hosted: DataFrame, low: DataFrame) -> DataFrame:
+    """``_row, styles``: the nodes of each page that are unimportant on its host or everywhere."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(list(set(Page(x).styles[1:])), np.uint64) for x in batch.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            styles = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(styles)],
+                names=["_row", "host", "style"],
+            )
+
+    schema = hosted.select("_row", "host").schema.add("style", "long")
+    nodes = hosted.select("_row", "host", "html").mapInArrow(visit, schema)
+    both = nodes.select("_row", F.explode(F.array_distinct(F.array("host", F.lit("")))).alias("host"), "style")
+    return both.join(low, ["host", "style"]).groupBy("_row").agg(F.collect_set("style").alias("styles"))
+
+
+def extract_main_text(
+    pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", bound: int = BROADCAST_BYTES
+) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page.
 
-    The unimportant nodes are sent to all tasks while they are few; beyond the bound each page
-    meets the list of its host in a join, which Spark splits where a host is large.
+    The unimportant nodes are sent to all tasks while they are few; beyond the bound the nodes of
+    each page meet them in a join, and a page gets those of its own.
     """
     hosted = _hosted(pages, key, url, html)
     low = cut_lineage(unimportant_styles(style_nodes(hosted)))
     n_low = low.count()
     schema = hosted.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    if n_low * 120 <= BROADCAST_BYTES:
+    if n_low * 120 <= bound:
         known: dict[str, set[int]] = {}
         for r in low.collect():
             known.setdefault(r["host"], set()).add(r["style"] & MASK)
@@ -310,11 +331,8 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
         wide = hosted.withColumn("styles", F.lit(None).cast("array<long>"))
     else:
         sent = None
-        lists = low.groupBy("host").agg(F.collect_set("style").alias("styles"))
-        shared = [r["style"] for r in low.filter("host = ''").collect()]
-        extra = F.array(*[F.lit(s) for s in shared]).cast("array<long>")
-        wide = hosted.join(cut_lineage(lists), "host", "left").withColumn(
-            "styles", F.concat(F.coalesce("styles", F.array().cast("array<long>")), extra)
+        wide = hosted.join(cut_lineage(own_unimportant(hosted, low)), "_row", "left").withColumn(
+            "styles", F.coalesce("styles", F.array().cast("array<long>"))
         )
     wide = wide.select("page_id", "url", "host", "html", "styles")
 

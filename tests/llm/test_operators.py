@@ -45,6 +45,19 @@ def test_main_text_of_a_host_of_copies(spark, tmp_path):
     assert got == {i: html.split("p'>")[1].split("<")[0] for i, _, html in rows}
 
 
+def test_main_text_where_the_style_tree_is_too_large_to_send(spark, messy, result):
+    found = style_tree.extract_main_text(spark.read.parquet(f"{messy}/pages.parquet"), bound=0)
+    same([tuple(r) for r in found.collect()], [tuple(r) for r in result("op1_style_tree")])
+
+
+def test_pages_get_their_own_nodes_only(spark, messy):
+    hosted = style_tree._hosted(spark.read.parquet(f"{messy}/pages.parquet"), "page_id", "url", "html")
+    low = style_tree.unimportant_styles(style_tree.style_nodes(hosted))
+    foreign = spark.range(5000).selectExpr("IF(id % 2 = 0, '', 'shop.example.com') AS host", "id AS style")
+    got = style_tree.own_unimportant(hosted, low.unionByName(foreign)).collect()
+    assert got and max(len(r.styles) for r in got) < 20
+
+
 def test_broken_pages():
     read = lambda s: style_tree.Page(s).main_text(set())
     assert read('<div>one</div><div class=x>two<br>three</div><p class="') == "one\ntwo three"
