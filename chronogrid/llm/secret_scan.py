@@ -2,8 +2,8 @@
 
 Candidates are cut out of each text by regular expressions. The digest of every candidate's
 value is then counted over the whole corpus by distinct repositories and owners: a value that
-several owners hold is a copied example, one that a single owner holds and that looks random is
-a live credential. Fixed-format kinds are always reported; the looser kinds are reported only
+several owners or many repositories hold is a copied example; one that few repositories of one
+owner, or of an owner and a mirror, hold and that looks random is a live credential. Fixed-format kinds are always reported; the looser kinds are reported only
 where the counts and the look of the value speak for a live credential.
 
 In the tables at hand a document stands for a repository and its source for the owner.
@@ -56,6 +56,7 @@ KINDS = (
     ),
 )
 COPIED_OWNERS = 3  # held by so many owners, a value is a copied example
+COPIED_REPOSITORIES = 20  # held by so many repositories as well, whoever owns them
 LIVE_BITS = 2.5  # entropy per character from which a value looks random
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
@@ -151,7 +152,12 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def judge_spans(found: DataFrame, copied_owners: int = COPIED_OWNERS, live_bits: float = LIVE_BITS) -> DataFrame:
+def judge_spans(
+    found: DataFrame,
+    copied_owners: int = COPIED_OWNERS,
+    copied_repositories: int = COPIED_REPOSITORIES,
+    live_bits: float = LIVE_BITS,
+) -> DataFrame:
     """One row per span with the counts of its value and the verdict on it."""
     counts = cut_lineage(ownership(found))
     spans = found.select("_row", "doc_id", F.explode(F.concat("fixed", "loose")).alias("_span")).select(
@@ -159,8 +165,8 @@ def judge_spans(found: DataFrame, copied_owners: int = COPIED_OWNERS, live_bits:
     )
     bits = entropy(F.col("_span.value"))
     verdict = (
-        F.when(F.col("n_owners") >= copied_owners, "copied")
-        .when((F.col("n_owners") == 1) & (bits >= live_bits), "live")
+        F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories), "copied")
+        .when(bits >= live_bits, "live")
         .otherwise("unclear")
     )
     return spans.join(counts, "digest").withColumn("verdict", verdict)
