@@ -80,17 +80,37 @@ def mark_first(rows: DataFrame, within: Sequence[str], content: str, name: str,
     )
 
 
+def _place() -> Column:
+    return F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
+    )
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain read of Parquet files, else what was written of it to the shared folder.
+
+    An operator that names rows in more than one place calls this once and passes the frame on,
+    since each written copy has places of its own. Joins and the like are written too: they keep
+    the places of one side, which may repeat.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    plain = plan.deterministic()
+    while plain and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plain and plan.nodeName() == "LogicalRelation":
+        try:
+            df.select(_place())
+        except AnalysisException:
+            return cut_lineage(df)
+        return df
+    return cut_lineage(df)
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds an id of each row that stays the same between two reads.
+    """Adds an id of each row that stays the same between two reads of a ``placed`` frame.
 
     It is the file and the place in it, so repeated rows differ and nothing is shuffled. A
     frame that is no plain read of Parquet files is written to the shared folder first.
     """
-    place = F.struct(
-        F.xxhash64("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("at"),
-    )
-    try:
-        return df.select("*", place.alias(name))
-    except AnalysisException:
-        return cut_lineage(df).select("*", place.alias(name))
+    return placed(df).select("*", _place().alias(name))

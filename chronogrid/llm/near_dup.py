@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import maybe_broadcast, text_of, with_row_id
+from .common import maybe_broadcast, placed, text_of, with_row_id
 from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     ``kept`` marks the smallest id of each component, ``first`` exactly one row of it.
     """
+    docs = placed(docs)  # marks and texts are joined by the places of rows
     marks = mark_documents(docs, key, text, percent)
     full = marks.filter("n_shingles > 0")
     nodes = cut_lineage(
@@ -287,8 +288,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = cut_lineage(named.groupBy("component").agg(F.min("least").alias("component_id")))
     owners = cut_lineage(named.join(lowest, "component").select("a", "b", "component", "component_id"))
-    placed = full.drop("bands").join(owners, ["a", "b"])
-    holders = placed.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    owned = full.drop("bands").join(owners, ["a", "b"])
+    holders = owned.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = cut_lineage(holders.groupBy("component").agg(F.min("doc").alias("_first")))
     alone = marks.filter("n_shingles = 0").select(
         "doc_id",
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         F.lit(True).alias("kept"),
         F.lit(True).alias("first"),
     )
-    return placed.join(first, "component").select(
+    return owned.join(first, "component").select(
         "doc_id",
         "file",
         "at",

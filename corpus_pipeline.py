@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import table, with_row_id
+from chronogrid.llm.common import placed, table, with_row_id
 from chronogrid.llm.line_dedup import build_state, dedup_lines
 from chronogrid.llm.mixing import mix
 from chronogrid.llm.near_dup import near_duplicates
@@ -25,13 +25,14 @@ SIMILARITY = 80  # percent, of sets of five-word shingles
 
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``chosen`` names by file and place."""
+    """The rows of ``placed`` documents that ``chosen`` names by file and place."""
     named = chosen.select(F.struct("file", "at").alias("__row"))
     return with_row_id(docs, "__row").join(named, "__row", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and lie inside their language's perplexity band."""
+    docs = placed(docs)
     return _rows_of(docs, judge_quality(docs).filter("kept"))
 
 
@@ -53,6 +54,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    docs = placed(docs)
     return _rows_of(docs, near_duplicates(docs, percent=SIMILARITY).filter("first"))
 
 
