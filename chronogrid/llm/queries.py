@@ -16,8 +16,11 @@ from .packing import pack, token_pieces
 from .pii import find_personal_data
 from .perplexity import judge_quality
 from .secret_scan import scan_secrets, span_text
+from .spelling import spelling_variants
 from .style_tree import extract_main_text
 from .topk import top_products
+from .toxicity import FLAGGED, score_toxicity
+from .whitening import whiten
 
 SHARDS = 16
 
@@ -104,6 +107,19 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_log_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= FLAGGED).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_perplexity_bands": op2_perplexity_bands,
@@ -115,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit": op8_best_fit,
     "op9_three_phase": op9_three_phase,
     "op10_ownership_secrets": op10_ownership_secrets,
+    "op11_trie_pairs": op11_trie_pairs,
+    "op12_polarisation": op12_polarisation,
+    "op13_log_ratios": op13_log_ratios,
 }
 
 WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))"
@@ -123,12 +142,19 @@ CRC_NIBBLES = (
     "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
     "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
 )
-CRC32_OF_TEXT = f"""CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce(
-    list_transform(string_split(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), ''),
+
+
+def crc32_of(text: str) -> str:
+    """SQL for the checksum of the UTF-8 bytes of a text that is not null."""
+    return f"""CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(
+    list_transform(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''),
                    lambda ch: (strpos('0123456789ABCDEF', ch) - 1)::UBIGINT),
     lambda a, x: xor(a >> 4, {CRC_NIBBLES}[(xor(a, x) & 15)::INTEGER + 1]::UBIGINT),
     4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT END"""
 
+
+CRC32_OF_TEXT = crc32_of("coalesce(text, '')")
+
 SQL: dict[str, str] = {
     "op5_jump_hash": """
 WITH RECURSIVE k AS (
@@ -234,5 +260,43 @@ WITH RECURSIVE w AS (
 SELECT r.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(root) AS component_id,
   r.doc_id = min(root) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+    "op11_trie_pairs": """
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), h AS (
+  SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL
+), c AS (
+  SELECT run, n, """
+    + crc32_of("(id || ':' || run)")
+    + """ AS crc FROM h
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::BIGINT)
+      || substr(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word FROM c)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), s AS (
+  SELECT word, substr(word, 1, i - 1) AS pre, substr(word, i + 1) AS post
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), e AS (
+  SELECT a.word, b.word AS other FROM s a JOIN s b USING (pre, post) WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM s JOIN w ON w.word = s.pre || s.post
+  UNION SELECT w.word, s.word FROM s JOIN w ON w.word = s.pre || s.post
+), b AS (
+  SELECT e.word, other, n, count(*) OVER (PARTITION BY e.word) AS n_near,
+    row_number() OVER (PARTITION BY e.word ORDER BY n DESC, other) AS place
+  FROM e JOIN w ON w.word = e.other
+), f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.n >= 10 * w.n THEN other END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+  FROM w LEFT JOIN b ON b.word = w.word AND place = 1
+), t(word, root, step) AS (
+  SELECT word, word, 0 FROM f
+  UNION ALL
+  SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM t GROUP BY word) USING (word)
 """,
 }
