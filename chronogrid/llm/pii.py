@@ -43,6 +43,7 @@ EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 Span = tuple[int, int, int]  # kind, start, end
 
 # The patterns. Possessive digits keep long runs linear without changing matches.
+DIGITS = frozenset("0123456789")  # other scripts have digits too; the patterns know these
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -64,6 +65,12 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead it."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from each at-sign outwards, so long runs stay linear."""
     done, at = 0, text.find("@")
@@ -85,7 +92,7 @@ def pattern_spans(text: str) -> list[Span]:
         out += [(0, a, b) for a, b in emails(text)]
     if TRIGGER.search(text):
         for m in ADDRESS.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(octet(p) for p in m.group().split(".")):
                 out.append((1, *m.span()))
         for m in CARD.finditer(text):
             digits = digits_of(m.group())
@@ -130,7 +137,7 @@ def side(text: str, at: int) -> str:
     if not 0 <= at < len(text):
         return "none"
     c = text[at]
-    return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
+    return "digit" if c in DIGITS else "letter" if c.isalpha() else "space" if c.isspace() else c
 
 
 def span_features(text: str, start: int, end: int) -> tuple[list[str], tuple[int, ...]]:
@@ -162,7 +169,7 @@ def span_features(text: str, start: int, end: int) -> tuple[list[str], tuple[int
         f"marks={marks}",
         f"groups={min(6, len(groups))}",
         f"luhn={len(digits) >= 12 and luhn(digits)}",
-        f"octets={len(groups) == 4 and marks == '.' and all(len(g) <= 3 and int(g) <= 255 for g in groups)}",
+        f"octets={len(groups) == 4 and marks == '.' and all(len(g) <= 3 and octet(g) for g in groups)}",
         f"plus={span[0]}" if span[0] in "+(" else "plus=",
         f"longest={min(20, max(map(len, groups)))}",
     ]
@@ -190,7 +197,7 @@ def lattice(text: str, start: int, end: int) -> tuple[list[int], list[list[Candi
                 break
             at |= unit == "@"
             letters |= unit[0].isalpha()
-            triggered |= unit == "@" or unit[0].isdigit()
+            triggered |= unit == "@" or unit[0] in DIGITS
             if not triggered or (letters and not at) or not unit[-1].isalnum():
                 continue
             if at and head in "+(":
