@@ -67,6 +67,9 @@ CLASSES = frozenset(
     "disqus reply replies related recommended widget toolbar pagination pager skip copyright".split()
 )
 MAIN = frozenset(("article", "main"))
+KEPT = frozenset(("html", "body", "article", "main"))  # no class makes these furniture
+# Words that make a class say what state a page is in, not what the element is: no-sidebar, comments-open.
+STATES = frozenset("no not without has have with is hide hidden open closed enabled disabled active on off".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -172,7 +175,10 @@ class Page:
             return True
         if values.get("role", "") in ROLES or re.search(r"display\s*:\s*none", values.get("style", "")):
             return True
-        words = set(WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        if tag in KEPT:
+            return False
+        named = f"{values.get('class', '')} {values.get('id', '')}".lower().split()
+        words = {w for name in named if not (parts := set(WORD.findall(name))) & STATES for w in parts}
         return bool(words & CLASSES) or ("header" in words and not inside)
 
     def styles_seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
