@@ -11,7 +11,8 @@ A gap that holds the longest document left several times over is offered as that
 short documents don't need a round each.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed as rows of
-their own; equal lengths are told apart by row id; an empty table gives an empty table.
+their own; equal lengths are told apart by row id; texts of any length are cut into full pieces; the text of an added token
+(the end-of-text mark) is that token; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,15 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def load_encoder(ranks_path: str):
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Texts that the tokenizer takes as one token of their own wherever they occur."""
+    import json
+
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: int(t["id"]) for t in json.load(file)["added_tokens"]}
+
+
+def load_encoder(ranks_path: str, added: dict[str, int]):
     """Text to ids. The ranks give the ids of the JSON vocabulary, several times as fast."""
     import base64
 
@@ -53,9 +62,15 @@ def load_encoder(ranks_path: str):
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     coder = tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
     )
-    return coder.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return coder.encode(text, allowed_special="all")
+        return coder.encode_ordinary(text)
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -70,18 +85,20 @@ def token_pieces(
     key: str = "doc_id",
     text: str = "text",
     ranks_path: str | None = None,
+    json_path: str | None = None,
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     with_ids: bool = False,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids]`` of each piece of each document."""
-    ranks_path = ranks_path or tokenizer_files()[1]
+    json_path, ranks_path = json_path or tokenizer_files()[0], ranks_path or tokenizer_files()[1]
+    added = added_tokens(json_path)
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {key_type}, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<int>" if with_ids else ""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(ranks_path)
+        encode = load_encoder(ranks_path, added)
         for batch in batches:
             owner, rows, ids = [], [], []
             for at, content in enumerate(batch.column(1).to_pylist()):
