@@ -12,9 +12,10 @@ state before the insertion.
 A line's key is the line without the six white-space characters at both ends and with A-Z in
 lower case; it is known by a digest of 128 bits.
 
-Defined cases: a null or empty text is one empty line; each row is a document; repeated rows
-with one id count each, and all of them keep a line for which that id is the largest; a null id
-is below every other; an empty table gives an empty table.
+Defined cases: a null or empty text is one empty line; rows of one id are one document when keys are
+counted, but each is answered, and all of them keep a line for which that id is the largest; a null id
+is an id, below every other; inserting an id that is there adds what it did not hold; texts and lines of
+any length are read whole; an empty table gives an empty table. Other columns are passed on unread.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, shared_folder
-from .common import BROADCAST_BYTES, text_of
+from .common import BROADCAST_BYTES, free_name, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the package
 
@@ -139,14 +140,14 @@ def filter_has(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (table[one] == marks[:, None]).any(axis=1) | (table[two] == marks[:, None]).any(axis=1)
 
 
-def update_filter(old: bytes | None, add: np.ndarray, drop: np.ndarray) -> bytes:
-    """The filter of a shard after keys ``drop`` left and ``add`` came; both are (n, 2) digests."""
+def update_filter(old: bytes | None, add: np.ndarray, drop: np.ndarray) -> bytes | None:
+    """The filter of a shard after keys ``drop`` left and ``add`` came, both (n, 2) digests; None if it is full."""
     if old is not None:
         table = np.frombuffer(old, dtype=np.uint16).reshape(-1, SLOTS).copy()
         filter_delete(table, drop[:, 0], drop[:, 1])
         if filter_insert(table, add[:, 0], add[:, 1]):
             return table.tobytes()
-        raise OverflowError("filter is full")
+        return None
     room = len(add)
     while not filter_insert(table := empty_filter(room), add[:, 0], add[:, 1]):
         room *= 2
@@ -193,9 +194,9 @@ def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _counted(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")
-    )
+    """How many ids hold a key (rows of one id are one document, null is an id), and the largest."""
+    ids = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))
+    return postings.groupBy("key").agg(ids.alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def _write_state(spark: SparkSession, postings: DataFrame | None, counts: DataFrame, old: LineState | None) -> LineState:
@@ -225,11 +226,8 @@ def _write_state(spark: SparkSession, postings: DataFrame | None, counts: DataFr
 
     before = old.read(spark, "filters") if old else spark.createDataFrame([], schema)
     built = before.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(build, schema)
-    try:
-        built.write.parquet(f"{path}/filters")
-    except Exception:
-        if not old:
-            raise
+    built.write.parquet(f"{path}/filters")
+    if old and spark.read.parquet(f"{path}/filters").filter("bits IS NULL").limit(1).count():
         # A shard outgrew its filter: lay all of them out anew, with as many as are needed now.
         held = None if postings is None else spark.read.parquet(f"{path}/postings")
         return _write_state(spark, held, spark.read.parquet(f"{path}/counts"), None)
@@ -250,18 +248,28 @@ def build_state(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_p
 def insert_documents(state: LineState, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineState:
     """State with more documents; only counts of keys that they hold change."""
     spark = docs.sparkSession
-    new = cut_lineage(_postings(docs, key, text))
+    same = ["doc_id", "key"]
+    new, old = _postings(docs, key, text).distinct(), state.read(spark, "postings")
+    matched = F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("n.key") == F.col("o.key"))
+    new = cut_lineage(new.alias("n").join(old.alias("o"), matched, "left_anti").select(*same))
     both = state.read(spark, "counts").unionByName(_counted(new))
     counts = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-    return _write_state(spark, state.read(spark, "postings").unionByName(new), counts, state)
+    return _write_state(spark, old.unionByName(new), counts, state)
 
 
 def delete_documents(state: LineState, ids: DataFrame) -> LineState:
-    """State without the documents of ``ids`` (column doc_id), as if they had never come."""
+    """State without the documents of ``ids`` (column doc_id, null for those without an id), as if they had never come.
+
+    Only keys that the deleted documents hold are counted again.
+    """
     spark = ids.sparkSession
-    gone = ids.select("doc_id").distinct()
-    rest = cut_lineage(state.read(spark, "postings").join(gone, "doc_id", "left_anti"))
-    return _write_state(spark, rest, _counted(rest), state)
+    gone = ids.select(F.col("doc_id").alias("gone")).distinct()
+    postings, matched = state.read(spark, "postings"), F.col("doc_id").eqNullSafe(F.col("gone"))
+    rest = cut_lineage(postings.join(gone, matched, "left_anti"))
+    touched = cut_lineage(postings.join(gone, matched, "left_semi").select("key").distinct())
+    again = _counted(rest.join(touched, "key", "left_semi"))
+    counts = state.read(spark, "counts").join(touched, "key", "left_anti").unionByName(again)
+    return _write_state(spark, rest, counts, state)
 
 
 # --- application ------------------------------------------------------------------------------
@@ -315,16 +323,22 @@ def lines_to_drop(state: LineState, docs: DataFrame, key: str = "doc_id", text:
 
 
 def dedup_lines(
-    state: LineState, docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = BROADCAST_BYTES
+    state: LineState,
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    bound: int = BROADCAST_BYTES,
+    added: tuple[str, str, str] = ("__n_lines", "__n_dropped", "__kept"),
 ) -> DataFrame:
-    """``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept`` (the text that is left).
+    """``docs`` with its number of lines, of dropped lines and the text that is left, named by ``added``.
 
     While the exact rows of the keys over the limit stay within ``bound`` bytes, they are sent to
     the tasks next to the filters, and texts are read once and not shuffled. Beyond it each
     document meets its list of keys in a join. Both ways give the same rows.
     """
     spark, shards = docs.sparkSession, state.shards
-    wide = docs.select(*docs.columns, F.col(key).alias("__id"), text_of(text).alias("__text"))
+    own_id, own_text, drop_id, drop_keys = (free_name(docs.columns, c) for c in ("own_id", "own_text", "drop_id", "drop_keys"))
+    wide = docs.select("*", F.col(key).alias(own_id), text_of(text).alias(own_text))
     local = state.over * 40 <= bound and state.filter_bytes <= bound
     if local:
         over = state.read(spark, "counts").filter(F.col("n_docs") >= MIN_DOCS)
@@ -334,9 +348,9 @@ def dedup_lines(
         )
         sent = _filters(spark, state)
     else:
-        drop = cut_lineage(lines_to_drop(state, docs, key, text)).toDF("__drop_id", "__drop")
-        wide = wide.join(drop, F.col("__id").eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
-    names = [*docs.columns, "__n_lines", "__n_dropped", "__kept"]
+        drop = cut_lineage(lines_to_drop(state, docs, key, text)).toDF(drop_id, drop_keys)
+        wide = wide.join(drop, F.col(own_id).eqNullSafe(F.col(drop_id)), "left").drop(drop_id)
+    names = [*docs.columns, *added]
     width = len(docs.columns)
 
     def local_losses(ids: list, places: np.ndarray, keys: np.ndarray, maybe: Filters) -> set[tuple[int, int]]:
@@ -379,7 +393,7 @@ def dedup_lines(
                 names=names,
             )
 
-    schema = docs.select(*docs.columns).schema
-    for name, kind in (("__n_lines", T.LongType()), ("__n_dropped", T.LongType()), ("__kept", T.StringType())):
+    schema = T.StructType([*docs.schema.fields])
+    for name, kind in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True):
         schema = schema.add(name, kind)
     return wide.mapInArrow(apply, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import maybe_broadcast, ordered, text_of, with_row_id, word_count
+from .common import free_name, maybe_broadcast, ordered, text_of, with_row_id, word_count
 
 MOST = 3  # a source is repeated this often at most
 SOURCE_ROW_BYTES = 256
@@ -147,13 +147,12 @@ def _before(place: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """The mixed documents: each row of ``docs`` as many times as it was drawn, same columns."""
-    fixed = with_row_id(docs, "__mix_row")
-    drawn = systematic_copies(fixed, source=source, row="__mix_row", **options)
-    times = drawn.filter("copies > 0").select(
-        F.col("_row").alias("__mix_row"), F.col("copies").cast("int").alias("__copies")
-    )
+    row, times, nth = (free_name(docs.columns, c) for c in ("mix_row", "mix_copies", "mix_copy"))
+    fixed = with_row_id(docs, row)
+    drawn = systematic_copies(fixed, source=source, row=row, **options)
+    often = drawn.filter("copies > 0").select(F.col("_row").alias(row), F.col("copies").cast("int").alias(times))
     return (
-        fixed.join(times, "__mix_row")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
+        fixed.join(often, row)
+        .withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
