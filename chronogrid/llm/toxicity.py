@@ -170,7 +170,7 @@ def fit(rows: DataFrame, limit: int = SAMPLE) -> tuple[np.ndarray, float]:
         share = (n_toxic + 0.1) / (n_toxic + n_other + 1)
         return np.zeros(1 << BITS), float(np.log(share / (1 - share)))
     ratios = np.zeros(1 << BITS)
-    found = log_ratios(count_places(rows)).toPandas()  # at most 2 ** BITS rows
+    found = log_ratios(cut_lineage(count_places(rows))).toPandas()  # at most 2 ** BITS rows
     ratios[found["place"].to_numpy()] = found["ratio"].to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(ratios)
 
