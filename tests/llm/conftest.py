@@ -51,7 +51,13 @@ def embeddings():
     return out + [(200, None), (220, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (240, [float("nan")] * 6), (260, [1.0]), (40, [0.25] * 6)]
 
 
-CLASH = ("size", "shard", "kept", "rank", "start", "node", "_row", "u", "n", "lines", "score", "file", "at", "v", "row")
+def labels():
+    """Labels with nulls, repeats and ids that no document has."""
+    return [(k, 1, int(k % 3 == 0)) for k in range(4, 31)] + [(None, 1, 1), (5, None, 1), (5, 0, 0), (9, 1, None), (900, 1, 1)]
+
+
+CLASH = ("size", "shard", "kept", "rank", "start", "node", "_row", "u", "n", "lines", "score", "file", "at", "v", "row",
+         "__id", "__n_dropped", "__copies", "__mix_row", "__row", "row_place", "own_id", "mix_row", "n_dropped", "toxic", "x", "fore")
 
 
 @pytest.fixture(scope="session")
@@ -71,6 +77,7 @@ def messy(spark, tmp_path_factory):
     text = T.StringType()
     rows = [(*r, 0) for r in documents()]
     save("documents", rows, fields(["doc_id", "text", "lang", "source", "n_chars"], [T.LongType(), text, text, text, T.LongType()]))
+    save("labels", labels(), fields(["doc_id", "quality", "toxic"], [T.LongType(), T.IntegerType(), T.IntegerType()]), drop=("toxic",))
     save("pages", pages(), fields(["page_id", "url", "html"], [T.LongType(), text, text]))
     save("embeddings", embeddings(), fields(["vec_id", "embedding"], [T.LongType(), T.ArrayType(T.FloatType())]))
     return str(folder)
@@ -79,7 +86,7 @@ def messy(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty(spark, messy, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "labels"):
         spark.read.parquet(f"{messy}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
