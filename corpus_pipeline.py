@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronogrid.llm.common import placed, table, with_row_id
+from chronogrid.llm.common import free_name, placed, table, with_row_id
 from chronogrid.llm.line_dedup import build_state, dedup_lines
 from chronogrid.llm.mixing import mix
 from chronogrid.llm.near_dup import near_duplicates
@@ -26,8 +26,9 @@ SIMILARITY = 80  # percent, of sets of five-word shingles
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``placed`` documents that ``chosen`` names by file and place."""
-    named = chosen.select(F.struct("file", "at").alias("__row"))
-    return with_row_id(docs, "__row").join(named, "__row", "left_semi").select(*docs.columns)
+    row = free_name(docs.columns, "row_place")
+    named = chosen.select(F.struct("file", "at").alias(row))
+    return with_row_id(docs, row).join(named, row, "left_semi").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +39,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
-    cleaned = dedup_lines(build_state(docs, keep_postings=False), docs)
-    changed = F.col("__n_dropped") > 0
+    added = tuple(free_name(docs.columns, c) for c in ("n_lines", "n_dropped", "kept_text"))
+    cleaned = dedup_lines(build_state(docs, keep_postings=False), docs, added=added)
+    changed = F.col(added[1]) > 0
     return cleaned.select(
         *[
-            F.when(changed, F.col("__kept")).otherwise(F.col(c)).alias(c)
+            F.when(changed, F.col(added[2])).otherwise(F.col(c)).alias(c)
             if c == "text"
-            else F.when(changed, F.length("__kept").cast("long")).otherwise(F.col(c)).alias(c)
+            else F.when(changed, F.length(added[2]).cast("long")).otherwise(F.col(c)).alias(c)
             if c == "n_chars"
-            else F.col(c)
+            else F.col(f"`{c}`")
             for c in docs.columns
         ]
     )
