@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-import uuid
+
+_made: dict[str, str] = {}  # temporary folders of local sessions; the setting itself can't be changed later
 
 
 def local_session(cores: str = "8", app: str = "chronogrid") -> SparkSession:
@@ -38,9 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="chronogrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="chronogrid-")
+        atexit.register(shutil.rmtree, _made[app], ignore_errors=True)
+    return _made[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Delimited, JSON and key/value text files as long cells.
+"""JSON and key/value text files as long cells (B2, B3); delimited files have a module of their own.
 
 Every reader returns cells (doc, row, col, header, value), which ``headers.map_rows``
-turns into records. Files are decoded and split where they are read; a quoted value may
-not span lines.
+turns into records.
 """
 
 from __future__ import annotations
@@ -11,33 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.folding import clean_ws
-from ..operators import headers
 from ..operators.extract import LINE_BREAKS
-from ..session import cut_lineage
-from ..skew import blank, settled
+from ..skew import settled
+from .encodings import windows_latin, windows_undefined
 
-DELIMITERS = [";", ",", "\t", "|"]
 CONTAINERS = ["data", "users", "enseignants", "teachers", "rows", "items"]
-HEADER_ROWS = 30
 PAIR = r"^([^:;=]{2,80})\s*[:=]\s*(.+)$"
 
 
-def _windows_latin(plain: Column) -> Column:
-    """Latin-1 text with the bytes 80-9F read as Windows Latin unless one is undefined there."""
-    defined, meant, undefined = "", "", ""
-    for byte in range(0x80, 0xA0):
-        try:
-            meant += bytes([byte]).decode("cp1252")
-            defined += chr(byte)
-        except UnicodeDecodeError:
-            undefined += f"\\x{byte:02x}"
-    return F.when(plain.rlike(f"[{undefined}]"), plain).otherwise(F.translate(plain, defined, meant))
-
-
 def decoded(content: Column) -> Column:
     """UTF-8 with or without a mark, else Windows Latin, else Latin-1."""
+    latin = F.decode(content, "iso-8859-1")
     body = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(
-        _windows_latin(F.decode(content, "iso-8859-1"))
+        F.when(windows_undefined(latin), latin).otherwise(windows_latin(latin))
     )
     return F.regexp_replace(body, "^\\x{feff}", "")
 
@@ -47,53 +32,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc"), decoded(F.col("content")).alias("text"))
 
 
-def _cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a line; a delimiter inside double quotes does not cut.
-
-    Every second piece between quotes lies outside of them; only there the delimiter becomes
-    a mark to cut at.
-    """
-    pieces = F.transform(
-        F.split(line, '"', -1),
-        lambda x, i: F.when(i % 2 == 0, F.replace(x, delimiter, F.lit("\x00"))).otherwise(x),
-    )
-    cut = F.split(F.array_join(pieces, '"'), "\x00", -1)
-    return F.transform(cut, lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')))
-
-
-def delimited_cells(docs: DataFrame, learned: DataFrame) -> DataFrame:
-    """Cells under the header row and delimiter that recognise the most columns."""
-    docs = cut_lineage(docs)
-    filled = F.filter(F.split("text", LINE_BREAKS), lambda x: ~blank(x))  # blank lines don't count
-    lines = settled(docs, "doc", filled.alias("ls")).select("doc", F.posexplode("ls").alias("row", "line"))
-    tried = lines.filter(F.col("row") < HEADER_ROWS).select(
-        "doc", "row", "line", F.posexplode(F.array(*map(F.lit, DELIMITERS))).alias("turn", "delimiter")
-    )
-    heads = tried.select(
-        "doc", "row", "turn", "delimiter", F.explode(_cells(F.col("line"), F.col("delimiter"))).alias("header")
-    ).withColumn("header", clean_ws("header"))
-    mapping = headers.canonical_headers(heads.select("header"), learned)
-    known = mapping.filter("canonical is not null").select("header", F.lit(1).alias("hit"))
-    scores = heads.join(known, "header", "left").groupBy("doc", "row", "turn", "delimiter").agg(
-        F.coalesce(F.sum("hit"), F.lit(0)).alias("score")
-    )
-    best = cut_lineage(scores.filter("score > 0").groupBy("doc").agg(
-        F.max_by(F.struct("row", "delimiter"), F.struct("score", -F.col("turn"), -F.col("row"))).alias("b")
-    ).select("doc", F.col("b.row").alias("header_row"), "b.delimiter"))
-    rows = lines.join(best, "doc").filter("row >= header_row").select(
-        "doc", "row", "header_row", F.posexplode(_cells(F.col("line"), F.col("delimiter"))).alias("col", "value")
-    )
-    named = rows.filter("row = header_row").select(
-        "doc", "col",
-        F.when(clean_ws("value") == "", F.concat(F.lit("Colonne_"), F.col("col") + 1)).otherwise(clean_ws("value")).alias("header"),
-    )
-    return rows.filter("row > header_row").join(named, ["doc", "col"]).select("doc", "row", "col", "header", "value")
-
-
-def read_delimited_auto(spark: SparkSession, path: str, learned: DataFrame) -> DataFrame:
-    return delimited_cells(read_texts(spark, path), learned)
-
-
 def json_cells(docs: DataFrame) -> DataFrame:
     """Cells of a JSON list, of the first known list inside an object, or of one object."""
     body = F.trim("text")

@@ -59,15 +59,3 @@ def test_json_keeps_its_records(spark):
     docs = [("a", '[{"Nom":"A"}, 5, {"Nom":"B"}]'), ("b", '{"data":"[x","users":[{"Nom":"C"}]}'), ("c", '{"Nom":"D"}')]
     got = records.json_cells(spark.createDataFrame(docs, "doc string, text string")).orderBy("doc", "row").collect()
     assert [(r.doc, r.header, r.value) for r in got] == [("a", "Nom", "A"), ("a", "Nom", "B"), ("b", "Nom", "C"), ("c", "Nom", "D")]
-
-
-def test_long_quoted_lines_and_leading_blank_lines(spark):
-    wide = ";".join(['"a;b"'] * 20_000)
-    cells = spark.createDataFrame([(wide,), ('x;"say ""hi; you""";',)], "t string").select(
-        records._cells(F.col("t"), F.lit(";")).alias("v")
-    ).collect()
-    assert cells[0].v == ["a;b"] * 20_000 and cells[1].v == ["x", 'say "hi; you"', ""]
-    text = "\n" * 40 + "Nom;Email\nA;a@x.org"
-    learned = spark.createDataFrame([], "normalized_header string, canonical string")
-    docs = spark.createDataFrame([("d", text)], "doc string, text string")
-    assert {(r.header, r.value) for r in records.delimited_cells(docs, learned).collect()} == {("Nom", "A"), ("Email", "a@x.org")}
