@@ -6,7 +6,9 @@ the provenance texts source_document and feuille.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -14,7 +16,7 @@ from ..functions.extras import EXTRAS_TYPE, merge_extras
 from ..functions.folding import clean_ws, text
 from ..functions.keys import UNSTATED
 from ..session import cut_lineage
-from ..skew import hot_groups, split_sides
+from . import resolution
 from .matching import similar_pairs
 
 FIELDS = {
@@ -35,6 +37,7 @@ AUTO_LABELS = {
     ADOPT: "Résolu automatiquement par règle mémorisée : valeur préférée adoptée",
     BOTH: "Résolu automatiquement par règle mémorisée : valeur préférée + alternative archivée",
 }
+AUTO_UNNAMED = "Résolu automatiquement par règle mémorisée"
 RULE_LABELS = {
     KEEP: "Conserver la valeur préférée", ADOPT: "Adopter la valeur préférée",
     BOTH: "Valeur préférée + archiver alternative",
@@ -60,110 +63,25 @@ def has_any_content() -> Column:
     return out
 
 
-def _row_keys() -> Column:
-    key = lambda kind, value: F.when(value != "", F.struct(F.lit(kind).alias("kind"), value.alias("key")))
-    return F.filter(
-        F.array(
-            key("email", keys.person_key("email")),
-            key("tel", keys.phone_digits("telephone")),
-            key("nom", keys.full_name_key("nom", "prenom")),
-        ),
-        lambda k: k.isNotNull(),
-    )
-
-
-def _group_keys(rows: DataFrame) -> DataFrame:
-    """Keys of each group with the span of arrivals that see them.
-
-    A group's field is the first non-blank one among its members, so a key holds from the
-    arrival that set it. The name key changes once when the second of its halves arrives.
-    """
-    at = lambda c: F.when(clean_ws(c) != "", F.col("rid"))
-    state = rows.groupBy("label").agg(
-        *[F.min_by(c, at(c)).alias(c) for c in ("email", "telephone", "nom", "prenom")],
-        *[F.min(at(c)).alias(f"{c}_at") for c in ("email", "telephone", "nom", "prenom")],
-    )
-    first, second = F.least("nom_at", "prenom_at"), F.greatest("nom_at", "prenom_at")
-    both = F.col("nom_at").isNotNull() & F.col("prenom_at").isNotNull() & (first < second)
-    nom_first = F.col("prenom_at").isNull() | (F.col("nom_at") <= F.col("prenom_at"))
-    half = F.when(nom_first, keys.full_name_key("nom", F.lit(""))).otherwise(
-        keys.full_name_key(F.lit(""), "prenom")
-    )
-    entry = lambda kind, key, since, until: F.struct(
-        F.lit(kind).alias("kind"), key.alias("key"), since.alias("since"), until.cast("bigint").alias("until")
-    )
-    forever = F.lit(None)
-    held = F.array(
-        entry("email", keys.person_key("email"), F.col("email_at"), forever),
-        entry("tel", keys.phone_digits("telephone"), F.col("telephone_at"), forever),
-        entry("nom", keys.full_name_key("nom", "prenom"), second, forever),
-        entry("nom", F.when(both, half).otherwise(""), first, second),
-    )
-    listed = (
-        state.select("label", F.explode(held).alias("h"))
-        .select("label", "h.*")
-        .filter("key <> '' and since is not null")
-    )
-    # An open-ended entry matters only while no earlier group has held the key before it.
-    before = (
-        Window.partitionBy("kind", "key").orderBy("since", "label")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    best = F.min(F.when(F.col("until").isNull(), F.col("label"))).over(before)
-    return listed.withColumn("_best", best).filter("_best is null or label < _best").drop("_best")
-
-
 def resolve_entities(records: DataFrame, split_rows: int = 100_000) -> DataFrame:
-    """``label`` per record: the rid of the record that opened its entity.
+    """``label`` per record: the rid of the record that opened its entity; see ``resolution``."""
+    return resolution.resolve(records, split_rows=split_rows).labels
 
-    A record joins the first entity, in order of creation, whose merged email, phone or
-    full name it shares at its arrival. Each arrival depends only on earlier ones, so the
-    sequential outcome is the one assignment that reproduces itself; it is reached by
-    recomputing all assignments at once from the previous ones until none changes.
-    Records with ``pinned`` true (already stored people) always open their own entity.
-    """
-    cols = ["rid", "email", "telephone", "nom", "prenom"]
-    pinned = F.col("pinned") if "pinned" in records.columns else F.lit(False)
-    base = cut_lineage(
-        records.select(*cols, pinned.alias("pinned"), _row_keys().alias("row_keys"))
-    )
-    asked = base.filter("not pinned").select("rid", F.explode("row_keys").alias("k")).select("rid", "k.*")
-    # First guess: the earliest record that shares any key.
-    earliest = base.select("rid", F.explode("row_keys").alias("k")).groupBy("k").agg(F.min("rid").alias("first"))
-    guess = (
-        base.filter("not pinned").select("rid", F.explode("row_keys").alias("k"))
-        .join(earliest, "k").groupBy("rid").agg(F.min("first").alias("guess"))
-    )
-    rows = cut_lineage(
-        base.join(guess, "rid", "left").withColumn("label", F.coalesce("guess", "rid")).drop("guess", "row_keys")
-    )
-    crowded = cut_lineage(hot_groups(asked, ["kind", "key"], split_rows))
-    while True:
-        left, right = split_sides(asked, _group_keys(rows), crowded, ["kind", "key"], "rid")
-        seen = (F.col("since") < F.col("rid")) & (F.col("until").isNull() | (F.col("rid") <= F.col("until")))
-        found = (
-            left.join(right, ["kind", "key", "_salt"]).filter(seen)
-            .groupBy("rid").agg(F.min("label").alias("found"))
-        )
-        again = cut_lineage(
-            rows.join(found, "rid", "left")
-            .withColumn("moved", F.coalesce("found", "rid") != F.col("label"))
-            .withColumn("label", F.coalesce("found", "rid"))
-            .drop("found")
-        )
-        if again.filter("moved").isEmpty():
-            return again.select("rid", "label")
-        rows = again.drop("moved")
 
+def merge_records(records: DataFrame, labels: DataFrame, archived: DataFrame | None = None) -> DataFrame:
+    """One record per entity: first real value per field, extras and sources united.
 
-def merge_records(records: DataFrame, labels: DataFrame) -> DataFrame:
-    """One record per entity: first real value per field, extras and sources united."""
+    ``archived`` (label, rid, key, pos, value) holds further extras, each ahead of those of its record.
+    """
     r = records.join(labels, "rid")
     first = lambda c: F.coalesce(F.min_by(c, F.when(said(c), F.col("rid"))), F.min_by(c, "rid"))
     fields = r.groupBy("label").agg(*[first(c).alias(c) for c in FIELDS], F.count(F.lit(1)).alias("n"))
     values = (
         r.select("label", "rid", F.explode("extras").alias("key", "values"))
         .select("label", "rid", "key", F.posexplode("values").alias("pos", "value"))
+    )
+    values = (
+        (values if archived is None else values.unionByName(archived))
         .filter("coalesce(value, '') <> ''")
         .groupBy("label", "key", "value").agg(F.min(F.struct("rid", "pos")).alias("at"))
     )
@@ -189,21 +107,34 @@ def merge_records(records: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _long(records: DataFrame, *ids: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), clean_ws(c).alias("value")) for c, n in FIELDS.items()])
-    return records.select(*ids, F.explode(pairs).alias("f")).select(*ids, "f.*").filter(said("value"))
+@dataclass(frozen=True)
+class Imported:
+    """What an import did.
 
+    ``outcome`` (rid, outcome, person_id) of each useful record, ``people`` afterwards, ``conflicts`` that it opened,
+    ``resolved``: conflicts that a rule decided, and ``rules`` with their use counted.
+    """
 
-def upsert_people(store: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Outcome per batch record, the people afterwards, and the value conflicts found.
+    outcome: DataFrame
+    people: DataFrame
+    conflicts: DataFrame
+    resolved: DataFrame
+    rules: DataFrame | None
 
-    Stored people come first (their rid is their id) and keep their identity; batch rids
-    must be larger than any id. Conflicts hold (person_id, field, current, incoming).
+
+def import_records(
+    store: DataFrame, batch: DataFrame, rules: DataFrame | None = None, conflicts: DataFrame | None = None
+) -> Imported:
+    """Takes records into the store in their order of arrival.
+
+    Stored people come first (their rid is their id) and keep their identity; batch rids must be larger than any id.
+    A differing value follows the rule that remembers a decision for the pair, else opens a conflict, unless
+    ``conflicts`` has an open one of that wording. Values that rules put in place are what later records meet.
     """
     useful = batch.filter(has_any_content())
     known = useful.filter(keys.identity_key("email", "telephone", "nom", "prenom") != "")
     both = store.withColumn("pinned", F.lit(True)).unionByName(known.withColumn("pinned", F.lit(False)))
-    labels = resolve_entities(both)
+    labels = resolution.resolve(both, rules).labels
     outcome = useful.select("rid").join(labels, "rid", "left").select(
         "rid",
         F.when(F.col("label").isNull(), "pending")
@@ -211,24 +142,47 @@ def upsert_people(store: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
         .otherwise("updated").alias("outcome"),
         F.col("label").alias("person_id"),
     )
-    people = merge_records(both.drop("pinned"), labels).withColumnRenamed("label", "person_id").drop("n")
+    owned = both.join(labels, "rid").withColumnRenamed("label", "person_id")
+    events = cut_lineage(resolution.field_events(resolution.long_values(owned, FIELDS, "person_id", "rid"), rules))
+    ruled = events.filter("kind = 'rule'")
+    other = F.when(keys.person_key("kept") == keys.person_key("current"), F.col("incoming")).otherwise(F.col("current"))
+    place = F.array_position(F.array(*map(F.lit, FIELDS.values())), F.col("field")).cast("int") - 1 - len(FIELDS)
+    archived = ruled.filter(F.col("decision") == BOTH).select(
+        F.col("person_id").alias("label"), "rid", F.concat(F.lit("Alternative "), "field").alias("key"), place.alias("pos"), other.alias("value")
+    )
+    people = merge_records(both.drop("pinned"), labels, archived).withColumnRenamed("label", "person_id").drop("n")
+    latest = ruled.groupBy("person_id", "field").agg(F.max_by("kept", "rid").alias("value"))
+    people = _with_fields(people, latest)
     people = people.withColumn("statut", F.when(clean_ws("statut") == "", UNSTATED).otherwise(clean_ws("statut")))
-    return outcome, people, detect_field_conflicts(both, labels)
+    origin = both.select("rid", *PROVENANCE)
+    clash = events.filter("kind = 'clash'").groupBy("person_id", "field", "incoming").agg(F.min_by(F.struct("current", "rid"), "rid").alias("c"))
+    opened = clash.select("person_id", "field", "c.current", "incoming", "c.rid").join(origin, "rid")
+    if conflicts is not None:
+        opened = new_conflicts(opened, conflicts)
+    said_of = F.concat(_auto_label(), F.lit(" — valeur retenue : "), "kept")
+    resolved = ruled.join(origin, "rid").select(
+        "person_id", "field", "current", "incoming", "rid", *PROVENANCE, "kept", "decision",
+        F.lit("auto_resolved").alias("status"), said_of.alias("resolution"), *_pair("current", "incoming"),
+    )
+    return Imported(
+        outcome, people, opened.select("person_id", "field", "current", "incoming", *PROVENANCE, "rid"), resolved,
+        None if rules is None else rules_after_use(rules, resolved),
+    )
+
+
+def upsert_people(store: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcome per batch record, the people afterwards, and the value conflicts found, without rules."""
+    done = import_records(store, batch)
+    return done.outcome, done.people, done.conflicts
 
 
 def detect_field_conflicts(records: DataFrame, labels: DataFrame) -> DataFrame:
     """Values that differ from the one their entity already holds, once per wording."""
-    values = _long(records.join(labels, "rid"), "label", "rid", *PROVENANCE)
-    current = values.groupBy("label", "field").agg(F.min_by("value", "rid").alias("current"))
-    differ = keys.person_key("current") != keys.person_key("value")
-    origin = F.min_by(F.struct(*PROVENANCE), "rid")
-    return (
-        values.join(current, ["label", "field"])
-        .filter(differ)
-        .groupBy(F.col("label").alias("person_id"), "field", "current", F.col("value").alias("incoming"))
-        .agg(origin.alias("o"), F.min("rid").alias("rid"))
-        .select("person_id", "field", "current", "incoming", "o.*", "rid")
-    )
+    owned = records.join(labels, "rid").withColumnRenamed("label", "person_id")
+    events = resolution.field_events(resolution.long_values(owned, FIELDS, "person_id", "rid"), None).filter("kind = 'clash'")
+    first = events.groupBy("person_id", "field", "current", "incoming").agg(F.min("rid").alias("rid"))
+    origin = records.select("rid", *PROVENANCE)
+    return first.join(origin, "rid").select("person_id", "field", "current", "incoming", *PROVENANCE, "rid")
 
 
 def new_conflicts(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -242,10 +196,14 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(x, y).alias("low"), F.greatest(x, y).alias("high")]
 
 
+def _auto_label() -> Column:
+    label = F.create_map(*[F.lit(x) for kv in AUTO_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(label, F.col("decision")), F.lit(AUTO_UNNAMED))
+
+
 def apply_conflict_rules(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Conflicts with the remembered decision for their pair of values, in either order."""
     known = rules.select("person_id", "field", "low", "high", "preferred", "decision")
-    label = F.create_map(*[F.lit(x) for kv in AUTO_LABELS.items() for x in kv])
     preferred = F.when(clean_ws("preferred") == "", F.col("current")).otherwise(clean_ws("preferred"))
     alternative = F.when(keys.person_key("kept") == keys.person_key("current"), F.col("incoming")).otherwise(
         F.col("current")
@@ -258,7 +216,7 @@ def apply_conflict_rules(found: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("status", F.when(ruled, "auto_resolved").otherwise("open"))
         .withColumn(
             "resolution",
-            F.when(ruled, F.concat(F.element_at(label, F.col("decision")), F.lit(" — valeur retenue : "), "kept")),
+            F.when(ruled, F.concat(_auto_label(), F.lit(" — valeur retenue : "), "kept")),
         )
         .withColumn("alternative", F.when(F.col("decision") == BOTH, alternative))
         .drop("preferred")
@@ -276,32 +234,23 @@ def rules_after_use(rules: DataFrame, ruled: DataFrame) -> DataFrame:
     )
 
 
-def people_after_rules(people: DataFrame, ruled: DataFrame) -> DataFrame:
-    """Preferred values put in place; alternatives archived among the extras."""
-    return _with_values(
-        people,
-        ruled.filter("status = 'auto_resolved'").select("person_id", "field", F.col("kept").alias("value"), "rid"),
-        ruled.filter("alternative is not null").select("person_id", "field", F.col("alternative").alias("value"), "rid"),
-    )
+def _with_fields(people: DataFrame, values: DataFrame) -> DataFrame:
+    """People with some fields' values (person_id, field, value) put in place."""
+    sets = values.groupBy("person_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_set"))
+    put = {c: F.coalesce(F.try_element_at("_set", F.lit(n)), F.col(c)) for c, n in FIELDS.items()}
+    return people.join(sets, "person_id", "left").withColumns(put).drop("_set")
 
 
 def _with_values(people: DataFrame, values: DataFrame, alternatives: DataFrame) -> DataFrame:
     latest = values.groupBy("person_id", "field").agg(F.max_by("value", "rid").alias("value"))
-    sets = latest.groupBy("person_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_set")
-    )
     each = alternatives.groupBy("person_id", "field").agg(F.array_sort(F.collect_set("value")).alias("v"))
     more = each.groupBy("person_id").agg(
         F.map_from_entries(
             F.collect_list(F.struct(F.concat(F.lit("Alternative "), "field").alias("k"), "v"))
         ).alias("_alt")
     )
-    put = {c: F.coalesce(F.try_element_at("_set", F.lit(n)), F.col(c)) for c, n in FIELDS.items()}
     kept = F.when(F.col("_alt").isNull(), F.col("extras")).otherwise(merge_extras(F.col("extras"), F.col("_alt")))
-    return (
-        people.join(sets, "person_id", "left").join(more, "person_id", "left")
-        .withColumns({**put, "extras": kept}).drop("_set", "_alt")
-    )
+    return _with_fields(people, latest).join(more, "person_id", "left").withColumn("extras", kept).drop("_alt")
 
 
 def resolve_conflicts(
@@ -368,7 +317,7 @@ def delete_rules(rules: DataFrame, ids: DataFrame) -> DataFrame:
 def field_history(batch: DataFrame, outcome: DataFrame) -> DataFrame:
     """One row per real value a batch brought to a person."""
     owned = outcome.filter("person_id is not null").select("rid", "person_id")
-    return _long(batch, "rid", *PROVENANCE).join(owned, "rid")
+    return resolution.long_values(batch, FIELDS, "rid", *PROVENANCE).join(owned, "rid")
 
 
 def history_of(history: DataFrame, person_id: int) -> DataFrame:
