@@ -255,10 +255,8 @@ def headed_pages(spark, folder):
         .when(i % 4 == 2, "Filiere : IDSD – Semestre 3\n")
         .otherwise("")
     )
-    # Letters and digits of the text that could pass for a head are not part of this check.
-    body = F.regexp_replace(F.regexp_replace("text", "[0-9:]", ""), "(?i)fili[eè]re|semestre", "")
-    body = F.regexp_replace(body, "(?m)^", ". ")
-    return d.select(F.concat(F.lit("d"), i).alias("doc"), F.lit(1).alias("page"), F.concat(head, body).alias("text"), "doc_id")
+    text = F.concat(head, F.coalesce("text", F.lit("")))
+    return d.select(F.concat(F.lit("d"), i).alias("doc"), F.lit(1).alias("page"), text.alias("text"), "doc_id")
 
 
 @query(

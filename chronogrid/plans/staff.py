@@ -89,11 +89,24 @@ def h7(spark, folder):
 
 
 def by_mail(spark, folder):
-    """Records identified by their mail alone, where grouping and resolution agree."""
-    return staff(spark, folder).withColumn("nom", F.lit("")).withColumn("prenom", F.lit("")).withColumn("telephone", F.lit(""))
+    """All records, named after their mail, or each by itself without one: people that SQL can group."""
+    s = staff(spark, folder)
+    i = F.col("rid") - 1
+    number = F.when(F.col("email") == "", i + 1_000_000).otherwise(i % 600)
+    return s.withColumns(
+        {
+            "nom": F.concat(F.lit("NOM"), number), "prenom": F.concat(F.lit("Prénom"), number % 7),
+            "telephone": F.format_string("07%08d", number),
+        }
+    )
 
 
-_MAIL = "label0 AS (SELECT *, CASE WHEN email = '' THEN rid ELSE min(rid) OVER (PARTITION BY email) END AS label FROM staff),"
+_MAIL = """
+named AS (
+  SELECT * REPLACE ('NOM' || m AS nom, 'Prénom' || (m % 7) AS prenom, printf('07%08d', m) AS telephone)
+  FROM (SELECT *, CASE WHEN email = '' THEN i + 1000000 ELSE i % 600 END AS m FROM staff)),
+label0 AS (SELECT *, CASE WHEN email = '' THEN rid ELSE min(rid) OVER (PARTITION BY email) END AS label FROM named),
+"""
 
 
 @query("h7_resolve_by_mail", "SELECT rid, label FROM label0", _STAFF + _MAIL)
@@ -104,6 +117,7 @@ def h7_mail(spark, folder):
 @query(
     "h8_merge_records",
     """SELECT label, count(*) AS n, coalesce(arg_min(statut, rid) FILTER (WHERE statut <> 'Non précisé'), arg_min(statut, rid)) AS statut,
+      arg_min(nom, rid) AS nom, arg_min(prenom, rid) AS prenom, arg_min(telephone, rid) AS telephone,
       arg_min(email, rid) AS email, coalesce(arg_min(diplome, rid) FILTER (WHERE diplome <> ''), '') AS diplome, arg_min(departement, rid) AS departement,
       (SELECT CASE WHEN count(*) = 1 THEN '{"Bureau": "' || max(bureau) || '"}' ELSE '{"Bureau": [' || string_agg('"' || bureau || '"', ', ' ORDER BY r) || ']}' END
         FROM (SELECT bureau, min(rid) AS r FROM label0 b WHERE b.label = a.label GROUP BY 1)) AS extras,
@@ -114,7 +128,7 @@ def h7_mail(spark, folder):
 def h8(spark, folder):
     s = by_mail(spark, folder)
     return people.merge_records(s, people.resolve_entities(s)).select(
-        "label", "n", "statut", "email", "diplome", "departement", extras_json(F.col("extras")).alias("extras"), "source_document"
+        "label", "n", "statut", "nom", "prenom", "telephone", "email", "diplome", "departement", extras_json(F.col("extras")).alias("extras"), "source_document"
     )
 
 
@@ -141,14 +155,18 @@ clash AS (
 
 @query(
     "h9_upsert_outcome",
-    "SELECT brid AS rid, CASE WHEN pid IS NULL THEN 'pending' ELSE 'updated' END AS outcome, pid AS person_id FROM arrive",
+    "SELECT brid AS rid, CASE WHEN pid IS NULL THEN 'inserted' ELSE 'updated' END AS outcome, coalesce(pid, brid) AS person_id FROM arrive",
     _STAFF + _STORE,
 )
 def h9(spark, folder):
     return people.upsert_people(*stored_and_batch(spark, folder))[0]
 
 
-@query("h9_upsert_people", "SELECT pid AS person_id, dep AS departement FROM cur", _STAFF + _STORE)
+@query(
+    "h9_upsert_people",
+    "SELECT pid AS person_id, dep AS departement FROM cur UNION ALL SELECT brid, departement FROM arrive WHERE pid IS NULL",
+    _STAFF + _STORE,
+)
 def h9_people(spark, folder):
     return people.upsert_people(*stored_and_batch(spark, folder))[1].select("person_id", "departement")
 
@@ -160,14 +178,10 @@ def h10(spark, folder):
 
 
 def known_conflicts(spark, folder):
-    """Department clashes of people sharing a mail, without running a resolution."""
-    s = staff(spark, folder).filter("email <> ''").withColumn("label", F.min("rid").over(views.Window.partitionBy("email")))
-    return people.detect_field_conflicts(
-        s.select("rid", *people.FIELDS, *people.PROVENANCE)
-        .withColumn("statut", F.lit("")).withColumn("nom", F.lit("")).withColumn("prenom", F.lit(""))
-        .withColumn("telephone", F.lit("")).withColumn("diplome", F.lit("")),
-        s.select("rid", "label"),
-    )
+    """Clashes between all fields of records that share a mail, without running a resolution."""
+    s = by_mail(spark, folder)
+    label = F.when(F.col("email") == "", F.col("rid")).otherwise(F.min("rid").over(views.Window.partitionBy("email")))
+    return people.detect_field_conflicts(s, s.select("rid", label.alias("label")))
 
 
 _CLASH = """
@@ -293,12 +307,13 @@ def h13_rules(spark, folder):
 
 @query(
     "h14_field_history",
-    f"SELECT h.rid, p.pid AS person_id, field, value FROM ({_LONG}) h JOIN (SELECT rid, min(rid) OVER (PARTITION BY email) AS pid FROM staff WHERE email <> '') p USING (rid)",
+    f"SELECT h.rid, p.pid AS person_id, field, value FROM ({_LONG}) h JOIN (SELECT rid, CASE WHEN email = '' THEN rid ELSE min(rid) OVER (PARTITION BY email) END AS pid FROM staff) p USING (rid)",
     _STAFF,
 )
 def h14(spark, folder):
     s = staff(spark, folder)
-    owned = s.filter("email <> ''").select("rid", F.min("rid").over(views.Window.partitionBy("email")).alias("person_id"))
+    person = F.when(F.col("email") == "", F.col("rid")).otherwise(F.min("rid").over(views.Window.partitionBy("email")))
+    owned = s.select("rid", person.alias("person_id"))
     return people.field_history(s, owned).select("rid", "person_id", "field", "value")
 
 
@@ -518,15 +533,23 @@ def i2(spark, folder):
 
 @query(
     "i4_entity_schedule",
-    """SELECT DISTINCT conv_id AS question_id, jour, horaire, matiere, type_seance, enseignant, salle, filiere, groupe
-    FROM conversations JOIN sessions ON salle = 'Salle ' || (conv_id % 40) AND jour = 'Mardi' WHERE turn = 0""",
+    """SELECT DISTINCT question_id, jour, horaire, matiere, type_seance, enseignant, salle, filiere, groupe FROM (
+      SELECT conv_id || '-' || turn AS question_id, (conv_id + turn) % 3 AS kind, (conv_id + turn) % 40 AS n,
+        CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN 'LUNDI' WHEN 2 THEN 'MARDI' ELSE 'SAMEDI' END AS day FROM conversations) q
+    JOIN sessions ON (day = '' OR day = upper(jour)) AND CASE kind WHEN 0 THEN lower(salle) = 'salle ' || n WHEN 1 THEN lower(filiere) = ['iaid', 'idsd', 'iid'][n % 3 + 1]
+      ELSE lower(matiere) = 'module ' || n END""",
     views.SQL_SESSIONS,
 )
 def i4(spark, folder):
-    c = views.table(spark, folder, "conversations").filter("turn = 0")
-    linked = c.select(
-        F.col("conv_id").alias("question_id"), F.lit("MARDI").alias("day"), F.lit("salle").alias("col"),
-        F.concat(F.lit("salle "), (F.col("conv_id") % 40).cast("string")).alias("norm"),
+    """Every turn of every conversation asks for a room, a programme or a subject, on a day or on all."""
+    n = F.col("conv_id") + F.col("turn")
+    kind, pick = n % 3, lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    linked = views.table(spark, folder, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"),
+        pick(["", "LUNDI", "MARDI", "SAMEDI"], F.col("turn") % 4).alias("day"),
+        pick(["salle", "filiere", "matiere"], kind).alias("col"),
+        F.when(kind == 0, F.concat(F.lit("salle "), n % 40)).when(kind == 1, pick(["iaid", "idsd", "iid"], n % 40 % 3))
+        .otherwise(F.concat(F.lit("module "), n % 40)).alias("norm"),
     )
     return linking.entity_schedule(linked, views.sessions(spark, folder))
 
