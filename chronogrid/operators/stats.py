@@ -235,12 +235,34 @@ def occupancy_matrix(heatmap: DataFrame) -> DataFrame:
     )
 
 
+def exact_quantiles(rows: DataFrame, metric: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the interpolated quantile for each name in ``shares``; null without values.
+
+    Equal values are counted first; the distinct ones are put into one order, cut into ranges, and each range
+    learns how many rows lie before it. The values at the wanted ranks are then picked out, so no task sees more
+    than a range of the distinct values.
+    """
+    counted = rows.filter(F.col(metric).isNotNull()).groupBy(F.col(metric).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = in_order(counted, [F.col("v")], F.col("n"))
+    inside = Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("n").over(inside)  # ranks from upto - n to upto - 1 hold the value
+    placed = ranged.select("v", (upto - F.col("n")).alias("first"), upto.alias("upto"), F.col("_all").alias("total"))
+    position = lambda share: F.lit(share) * (F.col("total") - 1)
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("upto")), F.col("v")))
+    found = placed.agg(
+        F.max("total").alias("total"),
+        *[at(f(position(p))).alias(f"{name}_{side}") for name, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))],
+    )
+    value = lambda name, p: F.when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low")).otherwise(
+        (F.ceil(position(p)) - position(p)) * F.col(f"{name}_low") + (position(p) - F.floor(position(p))) * F.col(f"{name}_high")
+    )
+    return found.select(*[value(name, p).alias(name) for name, p in shares.items()])
+
+
 def iqr_outliers(loads: DataFrame, metric: str = "heures", minimum: int = 4) -> DataFrame:
     """Rows outside 1.5 interquartile ranges, with the bounds; nothing below 4 rows."""
-    q = lambda p: F.percentile(metric, p)
-    bounds = loads.agg(
-        q(0.25).alias("q1"), q(0.5).alias("mediane"), q(0.75).alias("q3"), F.count(F.lit(1)).alias("n")
-    ).select(
+    quartiles = exact_quantiles(loads, metric, {"q1": 0.25, "mediane": 0.5, "q3": 0.75})
+    bounds = quartiles.crossJoin(loads.agg(F.count(F.lit(1)).alias("n"))).select(
         "q1", "mediane", "q3", "n",
         F.greatest(F.lit(0.0), F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("borne_basse"),
         (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("borne_haute"),
