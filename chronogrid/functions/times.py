@@ -11,6 +11,7 @@ RANGE = r"(\d{1,2})(?:[h:.](\d{0,2}))?-(\d{1,2})(?:[h:.](\d{0,2}))?"
 ALONE_RANGE = rf"(?<!\d){RANGE}(?!\d)"
 MAX_SESSION_MINUTES = 360
 NUMBER = r"^([+-]?)(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+PLAIN_NUMBER = r"^[+-]?\d+(?:\.\d*)?$"
 MAX_ZEROS = 1000
 
 
@@ -51,6 +52,9 @@ def canonical_decimal(c: Column | str) -> Column:
     value. Anything that is no number stays as it is.
     """
     raw = clean_ws(c)
+    # Most numbers have no exponent: only zeros and signs at their ends go.
+    lean = F.regexp_replace(F.regexp_replace(raw, r"^\+?(-?)0*(?=\d)", "$1"), r"\.0*$|(\.\d*[1-9])0+$", "$1")
+    plain = F.when(lean == "-0", "0").otherwise(lean)
     parts = lambda g: F.regexp_extract(raw, NUMBER, g)
     shift = F.when(parts(4) == "", F.lit(0)).otherwise(parts(4).try_cast("int"))
     digits = F.regexp_replace(F.concat(parts(2), parts(3)), "^0+", "")
@@ -66,4 +70,4 @@ def canonical_decimal(c: Column | str) -> Column:
     )
     sign = F.when(parts(1) == "-", "-").otherwise("")
     known = raw.rlike(NUMBER) & shift.isNotNull()
-    return F.when(~known, raw).when(short == "", "0").otherwise(F.concat(sign, number))
+    return F.when(raw.rlike(PLAIN_NUMBER), plain).when(~known, raw).when(short == "", "0").otherwise(F.concat(sign, number))
