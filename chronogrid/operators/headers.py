@@ -10,6 +10,7 @@ from ..functions.extras import EXTRAS_TYPE
 from ..functions.folding import clean_ws
 from ..session import cut_lineage
 from .matching import similar_pairs
+from .people import has_any_content
 
 IGNORE = "Ignorer"
 FULL_NAME = "Nom complet"
@@ -130,7 +131,7 @@ def pick_header(scores: DataFrame) -> DataFrame:
 
 
 def map_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Records from long cells (doc, row, col, header, value).
+    """Records from long cells (doc, row, col, header, value), those that say anything.
 
     The first non-blank value of a known column is kept; a differing repeat and every
     unknown column go to the extras.
@@ -166,7 +167,7 @@ def map_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
         F.when(unnamed, name["prenom"]).otherwise(F.col("prenom")).alias("prenom"),
         "email", "telephone", "diplome", "specialite", "departement",
         F.coalesce("extras", F.from_json(F.lit("{}"), EXTRAS_TYPE)).alias("extras"),
-    )
+    ).filter(has_any_content())
 
 
 def normalized_header(c: Column | str) -> Column:

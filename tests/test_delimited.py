@@ -8,6 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from chronogrid.operators import headers
 from chronogrid.sources import delimited
 
 HEAD = "Nom;Email;Note"
@@ -127,6 +128,13 @@ def test_encodings_marks_and_suggested_delimiters(spark, learned, tmp_path):
     }
 
 
+def test_records_that_say_nothing_are_left_out(spark, learned, tmp_path):
+    save(tmp_path, {"a.csv": "Statut;Nom;Email\nNon précisé;;\nNon précisé;A;\n;;\n"})
+    cells = delimited.delimited_cells(delimited.open_delimited(spark, f"{tmp_path}/*.csv", learned))
+    rows = headers.map_rows(cells, headers.canonical_headers(cells, learned)).collect()
+    assert [r.nom for r in rows] == ["A"]
+
+
 def test_a_large_file_is_many_tasks(spark, ranges, tmp_path):
     save(tmp_path, {"big.csv": HEAD + "\nA;a@x.org;n" * 400})
     assert spark.read.text(f"{tmp_path}/big.csv").rdd.getNumPartitions() > 50
