@@ -2,10 +2,15 @@
 
 A character 5-gram model of each language is counted by Spark over all documents and smoothed by
 modified Kneser-Ney (Chen and Goodman, 1998): discounts from counts of counts, lower orders from
-continuation counts. The counts lie in one array sorted by a 64-bit hash of language and n-gram,
-which tasks look up. A document is scored on the counts of all other texts: its own n-grams are
-taken out at every size, those of the lower sizes where it alone supports them. Only the discounts
-and the number of letters are those of the whole language.
+continuation counts. A task finds the 5-grams of its documents in an array sorted by a 64-bit hash of
+language and n-gram; from there, places lead to the shorter n-grams and to the contexts. A document is
+scored on the counts of all other texts: its own n-grams are taken out at every size, those of the
+lower sizes where it alone supports them. Only the discounts and the number of letters are those of
+the whole language.
+
+What is broadcast is the list of 5-grams and their counts, from which each Python worker builds the
+shorter sizes once; it stays under ``MODEL_BYTES`` when built. A larger model is joined: every chunk of
+``CHUNK_ROWS`` documents asks once for its distinct 5-grams and gets their part of the model.
 
 The median and the median deviation of the log-perplexity of each language set a lower and an
 upper band; for short documents the band is wider by the sampling error of a mean of so many
@@ -25,12 +30,14 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .common import mark_first, maybe_broadcast, text_of, with_row_id
@@ -39,12 +46,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 ORDER = 5
 BITS = 12
-MODEL_BYTES = 192 << 20  # a larger model is met by a shuffle join instead of a broadcast
+MODEL_BYTES = 192 << 20  # a larger model, as built in a worker, is joined to chunks instead of broadcast
+GRAM_BYTES = 48  # of a built model for each 5-gram, shorter sizes included
+CHUNK_ROWS = 4000
 LOWER_WIDTH, UPPER_WIDTH = 4.0, 8.0  # deviations from the median; mixed languages are high but sound
 BIN = 1e-4  # resolution of medians
 SYMBOLS = "#*$%&|<>"  # fixed values
 MERGE_ROWS = 1_500_000
-CONTEXT, DISCOUNT, LETTERS = 8, 16, 24  # added to sizes, so that all of the model has one key
 
 
 # --- counting ---------------------------------------------------------------------------------
@@ -136,144 +144,68 @@ def discounts(level: DataFrame) -> DataFrame:
     return rates.select("lang", *[held(k).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-def with_discounts(level: DataFrame, rates: DataFrame, n_langs: int) -> DataFrame:
-    return level.join(maybe_broadcast(rates, n_langs, 64), "lang").withColumn(
-        "cut", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    )
-
-
-def context_totals(sized: DataFrame) -> DataFrame:
+def context_totals(level: DataFrame, rates: DataFrame, n_langs: int) -> DataFrame:
     """``lang, context, total, spare``: counts after a context and what they give away."""
     kinds = lambda m: F.count(F.when(m, 1))
-    return sized.groupBy("lang", F.shiftright("gram", BITS).alias("context")).agg(
+    found = level.groupBy("lang", F.shiftright("gram", BITS).alias("context")).agg(
         F.sum("n").alias("total"),
-        (
-            kinds(F.col("n") == 1) * F.first("d1")
-            + kinds(F.col("n") == 2) * F.first("d2")
-            + kinds(F.col("n") > 2) * F.first("d3")
-        ).alias("spare"),
+        *[kinds(m).alias(f"k{k}") for k, m in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))],
     )
-
-
-def count_model(counts: DataFrame) -> DataFrame:
-    """``lang, size, gram, a, b``: all that is needed to smooth with any one text held out.
-
-    ``a`` is the count of an n-gram. Contexts (their length plus ``CONTEXT``) have their total and
-    spare mass, ``DISCOUNT`` plus a size the three discounts, ``LETTERS`` the number of letters.
-    """
-    levels, letters = count_levels(counts)
-    n_langs = letters.count()
-    row = lambda df, size, gram, a, b=F.lit(0.0): df.select(
-        "lang", F.lit(size).alias("size"), gram.cast("long").alias("gram"), a.cast("double").alias("a"), b.alias("b")
-    )
-    whole = row(letters, LETTERS, F.lit(0), F.col("_v"))
-    for size, level in levels.items():
-        rates = cut_lineage(discounts(level))
-        totals = context_totals(with_discounts(level, rates, n_langs))
-        parts = [
-            row(level, size, F.col("gram"), F.col("n")),
-            row(totals, CONTEXT + size - 1, F.col("context"), F.col("total"), F.col("spare")),
-            *[row(rates, DISCOUNT + size, F.lit(k), F.col(f"d{k}")) for k in (1, 2, 3)],
-        ]
-        for part in parts:
-            whole = whole.unionByName(part)
-    return whole
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, size, gram, logp, logb`` of n-grams of every size, with no text held out but single sightings.
-
-    ``logp`` is the interpolated log-probability of the last character after the others;
-    ``logb`` is what an n-gram that never occurred pays for being looked up one size shorter
-    when this one is its context. The tests hold the smoothing against its sums.
-    """
+    spare = F.col("k1") * F.col("d1") + F.col("k2") * F.col("d2") + F.col("k3") * F.col("d3")
+    return found.join(maybe_broadcast(rates, n_langs, 64), "lang").select("lang", "context", "total", spare.alias("spare"))
+
+
+@dataclass
+class Model:
+    """Counts of n-grams by size, discounts by size and numbers of letters; all rows name their language."""
+
+    levels: dict[int, DataFrame]
+    rates: dict[int, DataFrame]
+    letters: DataFrame
+
+    def widened(self) -> DataFrame:
+        """``lang, gram, n5, t5, s5, ...``: each 5-gram with the counts of its ends and of their contexts."""
+        n_langs = self.letters.count()
+        whole = None
+        for size, level in sorted(self.levels.items()):
+            totals = context_totals(level, self.rates[size], n_langs).withColumnsRenamed({"total": f"t{size}", "spare": f"s{size}"})
+            level = level.withColumn("context", F.shiftright("gram", BITS)).withColumnRenamed("n", f"n{size}")
+            level = level.join(totals, ["lang", "context"]).drop("context")
+            if whole is not None:
+                level = level.withColumn("_end", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (size - 1))) - 1)))
+                level = level.join(whole.withColumnRenamed("gram", "_end"), ["lang", "_end"]).drop("_end")
+            whole = cut_lineage(level)
+        return whole
+
+
+def count_model(counts: DataFrame) -> Model:
+    """All that is needed to smooth with any one text held out."""
     levels, letters = count_levels(counts)
-    n_langs = letters.count()
-    lower = letters.select("lang", F.lit(0).cast("long").alias("gram"), (1 / F.col("_v")).alias("p"))
-    done = []
-    for size in range(1, ORDER + 1):
-        level = levels[size]
-        context = F.shiftright("gram", BITS)
-        sized = with_discounts(level, discounts(level), n_langs)
-        totals = context_totals(sized)
-        weight = F.col("spare") / F.col("total")
-        shorter = F.lit(0).cast("long") if size == 1 else F.col("gram").bitwiseAND(F.lit((1 << (BITS * (size - 1))) - 1))
-        base = lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("low"))
-        scored = (
-            sized.withColumn("context", context)
-            .withColumn("shorter", shorter)
-            .join(totals, ["lang", "context"])
-            .join(base, ["lang", "shorter"])
-        )
-        own = F.greatest(F.lit(0.0), F.col("n") - F.col("cut")) / F.col("total")
-        if size == ORDER:  # the single sighting is the text that is being scored
-            own = F.when(F.col("n") > 1, own).otherwise(0.0)
-        level = cut_lineage(scored.select("lang", "gram", (own + weight * F.col("low")).alias("p")))
-        backs = totals.select("lang", F.col("context").alias("gram"), F.log(weight).alias("logb"))
-        done.append((size, level, backs))
-        lower = level
-    whole = None
-    for i, (size, level, _) in enumerate(done):
-        probabilities = level.select("lang", "gram", F.log("p").alias("logp"))
-        if i + 1 < len(done):  # a context at the start of a text has no probability of its own
-            probabilities = probabilities.join(done[i + 1][2], ["lang", "gram"], "full")
-        else:
-            probabilities = probabilities.withColumn("logb", F.lit(0.0))
-        part = probabilities.select(
-            "lang",
-            F.lit(size).alias("size"),
-            "gram",
-            F.coalesce("logp", F.lit(float("nan"))).alias("logp"),
-            F.coalesce("logb", F.lit(0.0)).alias("logb"),
-        )
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+    return Model(levels, {size: cut_lineage(discounts(level)) for size, level in levels.items()}, letters)
 
 
 # --- sorted hash arrays -----------------------------------------------------------------------
 
 
-def gram_hash(lang: str, size: int, grams: np.ndarray) -> np.ndarray:
-    import xxhash
-
-    x = grams.astype(np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{size}:{lang}"))
+def gram_hash(seeds: np.ndarray | np.uint64, grams: np.ndarray) -> np.ndarray:
+    x = grams.astype(np.uint64) + seeds
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def hash_model(model: DataFrame) -> DataFrame:
-    """``hash, a, b`` of the model."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, sizes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            grams = batch.column(2).to_numpy()
-            out = np.empty(len(grams), dtype=np.uint64)
-            names = np.array(langs, dtype=object)
-            for lang in set(langs):
-                for size in np.unique(sizes):
-                    at = (names == lang) & (sizes == size)
-                    out[at] = gram_hash(lang, int(size), grams[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out.view(np.int64)), batch.column(3), batch.column(4)], names=["hash", "a", "b"]
-            )
-
-    return model.mapInArrow(hashed, "hash long, a double, b double")
-
-
 class SortedHashes:
     """Sorted hashes with an index of their leading bits, so a lookup is a few array steps."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], (first[order], second[order])
+        self.hashes, self.rows = hashes[order], order.astype(np.int32)
         self.shift = np.uint64(64 - max(1, int(len(hashes)).bit_length()))
         heads = (self.hashes >> self.shift).astype(np.int64)
         self.first = np.searchsorted(heads, np.arange((1 << (64 - int(self.shift))) + 1))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
+        """Row of each hash among those given at first, or -1."""
         head = (wanted >> self.shift).astype(np.int64)
         at, end = self.first[head], self.first[head + 1]
         out = np.full(len(wanted), -1, dtype=np.int64)
@@ -281,40 +213,13 @@ class SortedHashes:
         at, end = at[open_rows], end[open_rows]
         while len(open_rows):
             hit = self.hashes[at] == wanted[open_rows]
-            out[open_rows[hit]] = at[hit]
+            out[open_rows[hit]] = self.rows[at[hit]]
             at = at + 1
             go = ~hit & (at < end)
             open_rows, at, end = open_rows[go], at[go], end[go]
         return out
 
 
-class HashArrays(SortedHashes):
-    """Smoothed log-probabilities of a whole corpus."""
-
-    def __init__(self, hashes: np.ndarray, logp: np.ndarray, logb: np.ndarray) -> None:
-        super().__init__(hashes, logp, logb)
-        self.logp, self.logb = self.values
-
-    def score(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """Log-probability of each packed n-gram, backing off where it never occurred."""
-        out, back = np.zeros(len(grams)), np.zeros(len(grams))
-        rows = np.arange(len(grams))
-        for size in range(ORDER, 0, -1):
-            tail = grams[rows] & ((1 << (BITS * size)) - 1)
-            place = self.find(gram_hash(lang, size, tail))
-            known = (place >= 0) & ~np.isnan(self.logp[place])
-            out[rows[known]] = back[rows[known]] + self.logp[place[known]]
-            rows, tail = rows[~known], tail[~known]
-            if not len(rows):
-                break
-            if size == 1:
-                out[rows] = back[rows] - np.log(1 << BITS)
-                break
-            context = self.find(gram_hash(lang, size - 1, tail >> BITS))
-            back[rows[context >= 0]] += self.logb[context[context >= 0]]
-        return out
-
-
 def by_last(grams: np.ndarray) -> np.ndarray:
     """Packed n-grams with their characters in reverse, so that equal ends are neighbours."""
     out = np.zeros_like(grams)
@@ -324,81 +229,137 @@ def by_last(grams: np.ndarray) -> np.ndarray:
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
-    return np.r_[True, x[1:] != x[:-1]]
+    out = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
-def keys_of(lang: str, grams: np.ndarray) -> np.ndarray:
-    """All hashes that scoring the distinct n-grams of a text looks up."""
-    out = [gram_hash(lang, LETTERS, np.zeros(1, np.int64))]
-    for size in range(ORDER, 0, -1):
-        own = np.unique(grams & ((1 << (BITS * size)) - 1))
-        out.append(gram_hash(lang, size, own))
-        out.append(gram_hash(lang, CONTEXT + size - 1, np.unique(own >> BITS)))
-        out.append(gram_hash(lang, DISCOUNT + size, np.arange(1, 4)))
-    return np.concatenate(out)
+def _groups(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's (code, value), and a row of each number."""
+    order = np.lexsort((values, codes))
+    new = _starts(codes[order]) | _starts(values[order])
+    number = np.empty(len(order), dtype=np.int32)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
 
 
-class HeldOutCounts(SortedHashes):
-    """Counts of ``count_model``; a text is smoothed and scored on what all others leave of them."""
+def _fitting(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if not len(x) or x.max() < 2**31 else x.astype(np.int64)
 
-    def __init__(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        super().__init__(hashes, a, b)
-        self.rates: dict[tuple[str, int], np.ndarray] = {}
 
-    def get(self, lang: str, size: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = self.find(gram_hash(lang, size, grams))
-        return tuple(np.where(place >= 0, v[place], 0.0) for v in self.values)
+class HeldOutCounts:
+    """Counts of all n-grams; a text is smoothed and scored on what all others leave of them.
 
-    def discounts(self, lang: str, size: int) -> np.ndarray:
-        if (lang, size) not in self.rates:
-            self.rates[lang, size] = np.r_[0.0, self.get(lang, DISCOUNT + size, np.arange(1, 4))[0]]
-        return self.rates[lang, size]
+    Made of the 5-grams of some languages (numbers into ``langs``), the discounts of each size and
+    language and the numbers of letters. ``wide`` holds, where only a part of the 5-grams is given,
+    what the rest adds: a count, a context's total and its spare mass for every size and row.
+    """
+
+    def __init__(
+        self,
+        langs: list[str],
+        codes: np.ndarray,
+        grams: np.ndarray,
+        n: np.ndarray,
+        rates: dict[int, np.ndarray],
+        letters: np.ndarray,
+        wide: dict[str, np.ndarray] | None = None,
+    ) -> None:
+        self.langs, self.codes, self.grams, self.n = langs, codes, grams, n
+        self.rates, self.letters, self.wide = rates, letters, wide
+        self.levels: dict[int, tuple] = {}
+        self.whole: dict[int, np.ndarray] = {}  # probabilities of shorter n-grams where nothing is held out
+
+    def ready(self) -> HeldOutCounts:
+        """Builds the arrays, once in a worker.
+
+        Each size has the count, the context and the n-gram one size shorter of each of its n-grams, and
+        the total and spare mass of each context. N-grams are in the order of their last characters, so
+        that those with one end are neighbours.
+        """
+        if self.levels:
+            return self
+        import xxhash
+
+        self.number = {lang: k for k, lang in enumerate(self.langs)}
+        self.seeds = np.array([xxhash.xxh64_intdigest(lang) for lang in self.langs], dtype=np.uint64)
+        order = np.lexsort((by_last(self.grams), self.codes))
+        codes, grams, n = self.codes[order], self.grams[order], self.n[order].astype(np.int64)
+        self.index = SortedHashes(gram_hash(self.seeds[codes], grams))
+        picked = order  # a given row for each n-gram of the size
+        language_of = {}
+        for size in range(ORDER, 0, -1):
+            language_of[size] = codes
+            context, one = _groups(codes, grams >> BITS)
+            if self.wide:
+                n = self.wide[f"n{size}"][picked]
+                total, spare = self.wide[f"t{size}"][picked][one], self.wide[f"s{size}"][picked][one]
+            else:
+                total = np.bincount(context, n)
+                spare = np.bincount(context, self.rates[size][codes, np.minimum(n, 3)])
+            ends = grams & ((1 << (BITS * (size - 1))) - 1)
+            new = _starts(codes) | _starts(ends) if size > 1 else np.ones(0, dtype=bool)
+            up = (np.cumsum(new) - 1).astype(np.int32)
+            self.levels[size] = (_fitting(n), context, up, total.astype(np.float64), spare, (np.zeros(len(total)), np.zeros(len(total))))
+            if size > 1:
+                codes, grams, picked = codes[new], ends[new], picked[new]
+                n = np.bincount(up)
+        lower: np.ndarray | None = None
+        for size in range(1, ORDER):
+            ns, context, up, total, spare, _ = self.levels[size]
+            code = language_of[size]
+            base = 1 / self.letters[code] if lower is None else lower[up]
+            lower = (ns - self.rates[size][code, np.minimum(ns, 3)]) / total[context] + spare[context] / total[context] * base
+            self.whole[size] = lower
+        self.codes = self.grams = self.n = self.wide = None
+        return self
 
     def score(self, lang: str, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log-probability of each of a text's distinct n-grams, given sorted and with their counts.
 
-        From the largest size down, ``taken`` is what the text holds of each count: its sightings,
-        then the longer n-grams that end so and that no other text has.
+        All of them must have been counted. From the largest size down, ``taken`` is what the text
+        holds of each count: its sightings, then the longer n-grams that end so and no other text has.
         """
-        steps, order = [], np.argsort(by_last(grams))
-        n, taken = self.get(lang, ORDER, grams)[0], counts.astype(np.float64)
+        code, steps = self.number[lang], []
+        row = self.index.find(gram_hash(self.seeds[code], grams))
+        order = np.argsort(row)
+        row, taken = row[order], counts[order]
         for size in range(ORDER, 0, -1):
-            rates = self.discounts(lang, size)
-            left = np.maximum(n - taken, 0.0)
-            cut = rates[np.minimum(left, 3).astype(np.int64)]
-            freed = rates[np.minimum(n, 3).astype(np.int64)] - cut
-            context = grams >> BITS
-            if size == ORDER:  # n-grams of one context are neighbours here
-                new = _starts(context)
-                at, first = np.cumsum(new) - 1, np.flatnonzero(new)
-                total, spare = self.get(lang, CONTEXT + size - 1, context[first])
-                total, spare = total - np.add.reduceat(taken, first), spare - np.add.reduceat(freed, first)
-                total, spare = total[at], spare[at]
-            else:
-                total, spare = self.get(lang, CONTEXT + size - 1, context)
-                changed = np.flatnonzero(taken)
-                if len(changed):
-                    names, at = np.unique(context[changed], return_inverse=True)
-                    place = np.minimum(np.searchsorted(names, context), len(names) - 1)
-                    hit = names[place] == context
-                    total = total - np.where(hit, np.bincount(at, taken[changed])[place], 0.0)
-                    spare = spare - np.where(hit, np.bincount(at, freed[changed])[place], 0.0)
-            known = total > 0.5  # no other text has the context: the shorter one decides alone
-            total = np.where(known, total, 1.0)
-            own = np.where(known, np.maximum(left - cut, 0.0) / total, 0.0)
-            weight = np.where(known, spare / total, 1.0)
-            gone = ((n > 0) & (left <= 0)).astype(np.float64)
-            if size == ORDER:
-                grams, own, weight, gone = grams[order], own[order], weight[order], gone[order]
+            if size < ORDER and not taken.any():  # nor is anything taken from the sizes below
+                p = self.whole[size][row]
+                break
+            ns, contexts, ups, totals, spares, less = self.levels[size]
+            rates = self.rates[size][code]
+            n, context = ns[row], contexts[row]
+            left = n - taken
+            cut = rates[np.minimum(left, 3)]
+            total, spare = totals[context], spares[context]
+            changed = taken.nonzero()[0]
+            if len(changed):  # what the text itself gives its contexts
+                at = context[changed]
+                freed = rates[np.minimum(n[changed], 3)] - cut[changed]
+                np.add.at(less[0], at, taken[changed].astype(np.float64))
+                total -= less[0][context]
+                less[0][at] = 0.0
+                some = freed.nonzero()[0]
+                if len(some):
+                    at = at[some]
+                    np.add.at(less[1], at, freed[some])
+                    spare -= less[1][context]
+                    less[1][at] = 0.0
+            alone = (total < 0.5).nonzero()[0]  # no other text has the context: the shorter one decides
+            total[alone] = 1.0
+            own, weight = (left - cut) / total, spare / total
+            own[alone], weight[alone] = 0.0, 1.0
             if size == 1:
+                p = own + weight / self.letters[code]
                 break
-            tail = grams & ((1 << (BITS * (size - 1))) - 1)
-            new = _starts(tail)
-            at = np.cumsum(new) - 1
-            steps.append((own, weight, at))
-            grams, taken = tail[new], np.bincount(at, gone)
-            n = self.get(lang, size - 1, grams)[0]
-        p = own + weight / self.get(lang, LETTERS, np.zeros(1, np.int64))[0]
+            up = ups[row]
+            new = _starts(up)
+            first = new.nonzero()[0]
+            steps.append((own, weight, np.cumsum(new) - 1))
+            gone = left == 0
+            row, taken = up[first], np.add.reduceat(gone.astype(np.int64), first) if gone.any() else np.zeros(len(first), np.int64)
         for own, weight, at in reversed(steps):
             p = own + weight * p[at]
         out = np.empty(len(p))
@@ -410,7 +371,8 @@ class HeldOutCounts(SortedHashes):
         if not len(grams):
             return 0.0, 0.0
         p = self.score(lang, grams, counts)
-        return float(counts @ p), float(counts @ (p * p))
+        weighted = counts * p
+        return float(weighted.sum()), float((weighted * p).sum())
 
 
 # --- rules ------------------------------------------------------------------------------------
@@ -419,10 +381,10 @@ class HeldOutCounts(SortedHashes):
 def repeated_words(words: list[bytes]) -> int:
     """Words inside 5-word windows that are found twice or more."""
     n = len(words) - 4
-    if n < 2:
+    if n < 2 or len(set(zip(*(words[k:] for k in range(5)), strict=False))) == n:
         return 0
     number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    ids = np.array([number.setdefault(w, k) for k, w in enumerate(words)], dtype=np.int64)
     rank = ids
     for step in (1, 2):  # windows of 2, then of 4 words, named by rank: exact, no hashing
         length = len(rank) - step
@@ -465,70 +427,107 @@ def language_rows(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return marked.select("doc_id", "_row.file", "_row.at", "lang", "counted", "text")
 
 
-def measure_documents(rows: DataFrame, model: DataFrame, bound: int = MODEL_BYTES) -> DataFrame:
-    """Rules and log-probability sums of each row of ``language_rows``.
-
-    The hash arrays are broadcast while they stay under ``bound``. Beyond that each document
-    gets the part of the model that it looks up by a shuffle join.
-    """
+def distinct_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct packed n-grams of a text, rising, and their counts."""
+    grams = np.sort(packed(text))
+    if not len(grams):
+        return grams, grams
+    first = np.flatnonzero(_starts(grams))
+    return grams[first], np.diff(np.r_[first, len(grams)])
+
+
+MEASURES = [*[(c, "long") for c in (*RULES, "n_scored")], ("logp", "double"), ("logp2", "double")]
+
+
+def _measures(held: HeldOutCounts | None, langs: list[str], texts: list[str]) -> list[pa.Array]:
+    """Columns of rules and of log-probability sums."""
+    rules, sums = [], []
+    for lang, text in zip(langs, texts, strict=True):
+        grams, n = distinct_grams(text)
+        rules.append((*text_rules(text), int(n.sum())))
+        sums.append(held.sums(lang, grams, n) if len(grams) else (0.0, 0.0))
+    both = [np.array(rules, dtype=np.int64).reshape(-1, 6), np.array(sums, dtype=np.float64).reshape(-1, 2)]
+    return [pa.array(np.ascontiguousarray(c)) for x in both for c in x.T]
+
+
+def measure_documents(rows: DataFrame, model: Model, bound: int = MODEL_BYTES) -> DataFrame:
+    """Rules and log-probability sums of each row of ``language_rows``."""
+    letters = sorted((r["lang"], r["_v"]) for r in model.letters.collect())  # one row per language
+    langs = [lang for lang, _ in letters]
+    number = {lang: k for k, lang in enumerate(langs)}
+    rates = {size: np.zeros((len(langs), 4)) for size in model.rates}
+    for size, found in model.rates.items():
+        for r in found.collect():
+            rates[size][number[r["lang"]]] = (0.0, r["d1"], r["d2"], r["d3"])
+    n_letters = np.array([n for _, n in letters], dtype=np.float64)
+    head = rows.drop("text").columns
+    schema = T.StructType([*rows.drop("text").schema.fields])
+    for name, kind in MEASURES:
+        schema = schema.add(name, kind)
+    if model.levels[ORDER].count() * GRAM_BYTES <= bound:
+        return cut_lineage(_measured_by_broadcast(rows, model, langs, number, rates, n_letters, head, schema))
+    return cut_lineage(_measured_by_chunks(rows, model, rates, n_letters, number, head, schema))
+
+
+def _measured_by_broadcast(rows, model, langs, number, rates, n_letters, head, schema) -> DataFrame:
     spark = rows.sparkSession
-    table = cut_lineage(hash_model(model))
-    small = table.count() * 24 <= bound
-    sent = None
-    if small:
-        arrays = table.toArrow()
-        sent = spark.sparkContext.broadcast(tuple(arrays.column(c).to_numpy() for c in ("hash", "a", "b")))
-    fields = ", ".join(f"{c} long" for c in (*RULES, "n_scored"))
-    schema = rows.drop("text").schema
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    codes = spark.createDataFrame(list(number.items()), "lang string, code int")
+    listed = model.levels[ORDER].join(F.broadcast(codes), "lang").select("code", "gram", "n").toArrow()  # under the bound
+    columns = [listed.column(k).to_numpy() for k in range(3)]
+    del listed
+    sent = spark.sparkContext.broadcast(HeldOutCounts(langs, *columns[:2], _fitting(columns[2]), rates, n_letters))
+    del columns
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = None
         for batch in batches:
-            if small and arrays is None:
-                hashes, a, b = sent.value
-                arrays = HeldOutCounts(hashes.view(np.uint64), a, b)
-            rules, sums, lists = [], [], []
-            for name, content in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                grams = packed(content)
-                rules.append((*text_rules(content), len(grams)))
-                grams, n = np.unique(grams, return_counts=True)
-                if small:
-                    sums.append(arrays.sums(name, grams, n))
-                else:
-                    lists.append((grams, n, keys_of(name, grams).view(np.int64) if len(grams) else grams))
-            if not rules:
-                continue
-            columns = [batch.column(i) for i in range(5)]
-            columns += [pa.array(np.array(c, dtype=np.int64)) for c in zip(*rules, strict=True)]
-            if small:
-                columns += [pa.array(np.array(c)) for c in zip(*sums, strict=True)]
-            else:
-                columns += [pa.array(x, type=pa.list_(pa.int64())) for x in zip(*lists, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in names])
+            held = sent.value.ready()
+            found = _measures(held, batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *found], names=schema.names)
+
+    return rows.mapInArrow(measured, schema)
+
 
-    tail = "logp double, logp2 double" if small else "grams array<bigint>, counts array<bigint>, keys array<bigint>"
-    names = f"{head}, {fields}, {tail}".split(", ")
-    found = cut_lineage(rows.mapInArrow(measured, f"{head}, {fields}, {tail}"))
-    if small:
-        return found
+def _measured_by_chunks(rows, model, rates, n_letters, number, head, schema) -> DataFrame:
+    chunked = rows.withColumn("chunk", F.floor(F.col("at") / CHUNK_ROWS).cast("long"))
+    kept = [k for k, name in enumerate(rows.columns) if name in head]
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
-            sums = []
-            for name, grams, n, part in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                hashes = np.array([x["hash"] for x in part], dtype=np.int64).view(np.uint64)
-                a, b = (np.array([x[c] for x in part], dtype=np.float64) for c in ("a", "b"))
-                sums.append(HeldOutCounts(hashes, a, b).sums(name, np.array(grams), np.array(n)))
-            if sums:
-                columns = [batch.column(0), batch.column(1), *[pa.array(np.array(c)) for c in zip(*sums, strict=True)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "at", "logp", "logp2"])
-
-    pairs = found.select("file", "at", F.explode("keys").alias("hash")).join(table, "hash")
-    parts = pairs.groupBy("file", "at").agg(F.collect_list(F.struct("hash", "a", "b")).alias("part"))
-    held = found.select("file", "at", "lang", "grams", "counts").join(parts, ["file", "at"])
-    sums = held.mapInArrow(summed, "file long, at long, logp double, logp2 double")
-    return found.drop("grams", "counts", "keys").join(sums, ["file", "at"], "left").fillna(0.0, ["logp", "logp2"])
+            for file, chunk, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = held.setdefault((file, chunk, lang), [])
+                parts.append(distinct_grams(text)[0])
+                if sum(map(len, parts)) > MERGE_ROWS:
+                    parts[:] = [_merged(parts)]
+        for (file, chunk, lang), parts in held.items():
+            grams = _merged(parts)
+            for start in range(0, len(grams), 100_000):
+                part = grams[start : start + 100_000]
+                same = [pa.array([v] * len(part)) for v in (file, chunk, lang)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["file", "chunk", "lang", "gram"])
+
+    wanted = chunked.select("file", "chunk", "lang", "text").mapInArrow(asked, "file long, chunk long, lang string, gram long")
+    parts = wanted.distinct().join(model.widened(), ["lang", "gram"])
+
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
+        langs = sorted(set(right.column("lang").to_pylist()))
+        code = {lang: k for k, lang in enumerate(langs)}
+        codes = np.array([code[x] for x in right.column("lang").to_pylist()], dtype=np.int32)
+        own = [number[lang] for lang in langs]
+        wide = {f"{c}{size}": right.column(f"{c}{size}").to_numpy() for c in "nts" for size in range(1, ORDER + 1)}
+        grams = right.column("gram").to_numpy()
+        share = {size: x[own] for size, x in rates.items()}
+        held = HeldOutCounts(langs, codes, grams, wide[f"n{ORDER}"], share, n_letters[own], wide).ready() if langs else None
+        found = _measures(held, left.column("lang").to_pylist(), left.column("text").to_pylist())
+        return pa.Table.from_arrays([*(left.column(k) for k in kept), *found], names=schema.names)
+
+    by_chunk = chunked.groupBy("file", "chunk").cogroup(parts.groupBy("file", "chunk"))
+    return by_chunk.applyInArrow(measured, schema)
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.sort(np.concatenate(parts))
+    return x[_starts(x)] if len(x) else x
 
 
 def _median(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -544,10 +543,10 @@ def perplexity_bands(measured: DataFrame) -> DataFrame:
     """``lang, middle, spread, noise`` of the log-perplexity of each language's distinct texts."""
     scored = measured.filter("counted AND n_scored > 0 AND n_words >= 10").withColumn("_x", -F.try_divide("logp", "n_scored"))
     middle = cut_lineage(_median(scored, F.col("_x"), "middle"))
-    spread = _median(scored.join(middle, "lang"), F.abs(F.col("_x") - F.col("middle")), "spread")
+    spread = _median(scored.join(F.broadcast(middle), "lang"), F.abs(F.col("_x") - F.col("middle")), "spread")
     square = F.try_divide("logp2", "n_scored") - F.pow(F.col("_x"), F.lit(2))
     noise = _median(scored, square, "noise")
-    return cut_lineage(middle.join(spread, "lang").join(noise, "lang"))
+    return cut_lineage(middle.join(F.broadcast(spread), "lang").join(F.broadcast(noise), "lang"))  # one row per language
 
 
 def judge_quality(
